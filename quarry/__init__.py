@@ -1,0 +1,11 @@
+"""A Spark-first engine for cleaning, indexing, searching and analysing web corpora.
+
+Functions that run in Python workers are pickled by value, so executors need
+no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
