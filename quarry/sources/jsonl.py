@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.plans.schema import PAGE, coerce_pages
 
+#: As it is parsed: scalars of any JSON type come as text and are cast afterwards.
+RAW = T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, T.ArrayType) else T.StringType()) for f in PAGE.fields])
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -18,14 +22,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Strict: bad JSON fails the job; blank lines are skipped; a missing file is an empty table."""
     if not exists(spark, path):
         return spark.createDataFrame([], PAGE)
-    return coerce_pages(spark.read.schema(PAGE).option("mode", "FAILFAST").json(path))
+    return coerce_pages(spark.read.schema(RAW).option("mode", "FAILFAST").json(path))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Tolerant: (line, problem, item); problem is blank_line, bad_json, not_object or null."""
     lines = spark.read.text(path).withColumnRenamed("value", "line")
     body = F.trim("line")
-    item = F.from_json("line", PAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    item = F.from_json("line", RAW, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     valid = F.try_parse_json(body).isNotNull()
     problem = F.when(body == "", "blank_line").when(~valid, "bad_json").when(~body.startswith("{"), "not_object")
     return lines.select("line", problem.alias("problem"), item.alias("item"))
