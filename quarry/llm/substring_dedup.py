@@ -173,7 +173,7 @@ def _batch_entries(units: DataFrame, n: int) -> DataFrame:
                 order = np.lexsort((u.doc, fp))
                 fp, doc = fp[order], u.doc[order]
                 first = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, np.int64)
-                last = np.r_[first[1:], len(fp)] - 1
+                last = np.r_[first[1:], len(fp)][: len(first)] - 1
                 keys = fp[first] | (doc[first] != doc[last]).astype(np.uint64)
                 cut = np.searchsorted(_bucket(keys, n), np.arange(n + 1))
                 full = np.flatnonzero(np.diff(cut))
