@@ -69,13 +69,21 @@ def regex_test(pattern: str) -> Column:
     return F.col("combined").rlike(f"(?iu){pattern}")
 
 
-def candidates(index: Index, plan: Plan) -> DataFrame:
+def known_terms(index: Index, plan: Plan) -> dict[str, int]:
+    """Document frequencies of the query's own terms: at most as many rows as the query has terms."""
+    terms = list(plan.positive)
+    return {r["term"]: r["df"] for r in index.df.where(F.col("term").isin(terms)).collect()} if terms else {}
+
+
+def candidate_test(plan: Plan, df: dict[str, int]) -> Column:
     """Documents with any term; if no document has one, or there are no terms, all."""
-    terms = [*plan.terms, *plan.title_terms]
-    if not terms:
-        return index.docs.withColumn("candidate", F.lit(True))
-    some = index.docs.agg(F.max(_has_any(terms)).alias("__some"))  # one row
-    return index.docs.crossJoin(F.broadcast(some)).withColumn("candidate", _has_any(terms) | ~F.coalesce("__some", F.lit(False))).drop("__some")
+    terms = [t for t in (*plan.terms, *plan.title_terms) if df.get(t)]
+    return _has_any(terms) if terms else F.lit(True)
+
+
+def candidate_total(index: Index, plan: Plan) -> DataFrame:
+    """One row: total_candidates."""
+    return index.docs.where(candidate_test(plan, known_terms(index, plan))).agg(F.count("*").alias("total_candidates"))
 
 
 def expanded_terms(index: Index, plan: Plan) -> DataFrame:
@@ -84,13 +92,13 @@ def expanded_terms(index: Index, plan: Plan) -> DataFrame:
     return index.df.where(F.col("term").rlike(f"(?i){pattern}")) if plan.wildcards else index.df.limit(0)
 
 
-def bm25(plan: Plan, df: dict[str, int]) -> Column:
-    """Over the query's own terms; needs the columns of index.stats beside the documents."""
+def bm25(plan: Plan, df: dict[str, int], stats) -> Column:
+    """Over the query's own terms; ``stats`` is the row of index.stats."""
     out = F.lit(0.0)
     for t in plan.positive:
         if df.get(t):
             for f in FIELDS:
-                out = out + F.when(F.array_contains(f"{f}_terms", t), sc.bm25f(F.col("n"), F.lit(df[t]), F.size(f"{f}_terms"), F.col(f"avg_{f}"), BOOSTS[f])).otherwise(0.0)
+                out = out + F.when(F.array_contains(f"{f}_terms", t), sc.bm25f(F.lit(stats["n"]), F.lit(df[t]), F.size(f"{f}_terms"), F.lit(stats[f"avg_{f}"]), BOOSTS[f])).otherwise(0.0)
     return out
 
 
@@ -122,15 +130,13 @@ def title_share(plan: Plan) -> Column:
 
 
 def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list[str] | None = None, ranks: DataFrame | None = None, weights: dict[str, float] = sc.WEIGHTS) -> DataFrame:
-    """All matching documents: stored columns, candidate total, the features (f_*), score and matched terms.
+    """All matching documents: the index's columns, the features (f_*), score and matched terms.
 
     ranks: (id, rank) from PageRank; without it every document has 1/n, as a graph without edges gives.
     """
     positive = list(plan.positive)
-    known = {r["term"]: r["df"] for r in index.df.where(F.col("term").isin(positive)).collect()} if positive else {}  # as many rows as the query has terms
-    rows = candidates(index, plan)
-    total = rows.agg(F.sum(F.col("candidate").cast("long")).alias("total_candidates"))
-    ok = F.col("candidate") & structured(plan)
+    known, stats = known_terms(index, plan), index.stats.first()  # a few rows: they become constants of the plan
+    ok = candidate_test(plan, known) & structured(plan)
     if plan.excluded:
         ok = ok & ~_has_any(plan.excluded)
     for t in plan.title_terms:
@@ -139,7 +145,7 @@ def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list
         ok = ok & F.contains("combined", F.lit(p.lower()))
     for p in plan.regexes:
         ok = ok & regex_test(p)
-    rows = rows.where(ok).crossJoin(F.broadcast(index.stats)).crossJoin(F.broadcast(total))  # one row each
+    rows = index.docs.where(ok)
     own = _has_any(positive)
     url_hits = F.lit(0)
     for t in [*positive, *plan.url_terms]:
@@ -149,9 +155,9 @@ def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list
         more = expanded_terms(index, plan).where(~F.col("term").isin(positive)) if positive else expanded_terms(index, plan)
         n_terms = more.agg(F.count("*").alias("__n_terms"))
         part = F.lit(0.0)
-        hit = index.postings.join(more, "term").crossJoin(F.broadcast(index.stats))
+        hit = index.postings.join(more, "term")
         for f in FIELDS:
-            part = part + F.when(F.col(f"in_{f}"), sc.bm25f(F.col("n"), F.col("df"), F.col(f"len_{f}"), F.col(f"avg_{f}"), BOOSTS[f])).otherwise(0.0)
+            part = part + F.when(F.col(f"in_{f}"), sc.bm25f(F.lit(stats["n"]), F.col("df"), F.col(f"len_{f}"), F.lit(stats[f"avg_{f}"]), BOOSTS[f])).otherwise(0.0)
         per_doc = hit.groupBy("doc_id").agg(F.sum(part).alias("__more"), F.array_sort(F.collect_set("term")).alias("__terms"))
         rows = rows.join(per_doc, "doc_id", "left").crossJoin(F.broadcast(n_terms))
         wild, wild_score, wild_terms = F.col("__more").isNotNull(), F.coalesce("__more", F.lit(0.0)), F.coalesce("__terms", F.array().cast("array<string>"))
@@ -170,15 +176,15 @@ def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list
     elif not plan.phrases and not plan.regexes and (positive or plan.wildcards):
         rows = rows.where(own | wild) if plan.wildcards else rows.where(own)
     if ranks is None:
-        rank = 1.0 / F.greatest(F.col("n"), F.lit(1))
+        rank = F.lit(1.0 / max(stats["n"], 1))
     else:
         rows = rows.join(ranks.select(F.col("id").alias("doc_id"), F.col("rank").alias("__rank")), "doc_id", "left")
         rank = F.coalesce("__rank", F.lit(0.0))
     features = {
-        "bm25": bm25(plan, known) + wild_score, "phrase": phrase_score(plan), "title": title_share(plan), "url": F.least(url_hits / F.greatest(n_all, F.lit(1)), F.lit(1.0)),
+        "bm25": bm25(plan, known, stats) + wild_score, "phrase": phrase_score(plan), "title": title_share(plan), "url": F.least(url_hits / F.greatest(n_all, F.lit(1)), F.lit(1.0)),
         "pagerank": rank, "freshness": sc.freshness(F.col("fetched_at"), as_of if as_of is not None else F.current_timestamp()), "personal": interest(history or []),
     }
-    rows = rows.select(*[c for c in index.docs.columns], "total_candidates", *[c.alias(f"f_{k}") for k, c in features.items()], F.concat(terms_found, wild_terms).alias("matched_terms"))
+    rows = rows.select(*index.docs.columns, *[c.alias(f"f_{k}") for k, c in features.items()], F.concat(terms_found, wild_terms).alias("matched_terms"))
     score = sc.total({k: F.col(f"f_{k}") for k in features}, weights)
     if plan.phrases or plan.regexes:
         score = F.when(score <= 0, sc.FLOOR + F.col("f_personal")).otherwise(score)
@@ -208,7 +214,8 @@ def facets(found: DataFrame, everything: DataFrame) -> DataFrame:
 def search(index: Index, query: Query, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(hits, facets, totals) as three lazy DataFrames."""
     found = matches(index, parse_query(query), **options)
-    totals = found.agg(F.count("*").alias("total_matches"), F.max("total_candidates").alias("total_candidates"))
+    plan = parse_query(query)
+    totals = found.agg(F.count("*").alias("total_matches")).crossJoin(candidate_total(index, plan))  # one row each
     return hits(found, query), facets(found, index.docs), totals
 
 

@@ -423,13 +423,19 @@ SEARCHES = {
 
 def _search(q: Query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _found(spark, sf_dir, q).select("doc_id", F.round("score", 6).alias("score"), "total_candidates")
+        return _found(spark, sf_dir, q).select("doc_id", F.round("score", 6).alias("score"))
 
     return run
 
 
 for _name, _q in SEARCHES.items():
-    query(f"{search_ctes(_q)} SELECT doc_id, round(score, 6) AS score, total_candidates FROM f", _name)(_search(_q))
+    query(f"{search_ctes(_q)} SELECT doc_id, round(score, 6) AS score FROM f", _name)(_search(_q))
+
+
+@query(f"{search_ctes(SEARCHES['search_term_and_phrase'])}, t AS (SELECT count(*) AS total_matches FROM f) SELECT total_matches, total_candidates FROM t, ca")
+def search_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(vw.index_of(spark, sf_dir), SEARCHES["search_term_and_phrase"], as_of=F.lit(vw.AS_OF).cast("timestamp"))[2]
+
 
 _TOP = Query("the erly thble nicht", size=20)
 
