@@ -96,11 +96,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     windows = scratch.write(windows.groupBy("doc_id", "n", "start").agg(F.first("window").alias("window")))
     texts = scratch.write(windows.groupBy("n", "window").agg(F.count("*").alias("copies")).select("n", "window", fingerprint(hashes(F.col("window"))).alias("fp")))
     of_item = F.array(*[F.struct(F.lit(b).alias("block"), _near(_block(F.col("item_fp"), *x), x[1]).alias("near")) for b, x in enumerate(BLOCKS)])
-    ball = items.select("item_ids", "n", "item_fp", F.col("w").alias("item"), F.explode(of_item).alias("x")).select("item_ids", "n", "item_fp", "item", "x.block", F.explode("x.near").alias("value"))
+    ball = items.select("n", "item_fp").distinct().select("n", "item_fp", F.explode(of_item).alias("x")).select("n", "item_fp", "x.block", F.explode("x.near").alias("value"))
     of_window = F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), *x).alias("value")) for b, x in enumerate(BLOCKS)])
-    probes = texts.select("n", "window", "fp", F.explode(of_window).alias("x")).select("n", "window", "fp", "x.block", "x.value")
-    # items are few to a size and value; the same pair can meet in several blocks
-    met = probes.join(ball, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("n", "window", "item_ids", "item").distinct()
+    probes = texts.select("n", "fp").distinct().select("n", "fp", F.explode(of_window).alias("x")).select("n", "fp", "x.block", "x.value")
+    # only sizes and fingerprints travel; the same pair can meet in several blocks. A ball is large: never broadcast it
+    near = probes.join(ball.hint("merge"), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("n", "fp", "item_fp").distinct()
+    met = texts.join(scratch.write(near), ["n", "fp"]).join(items.withColumnRenamed("w", "item"), ["n", "item_fp"])
     sure = scratch.write(met.withColumn("similarity", similarity(shingles(F.col("window")), shingles(F.col("item")))).where(F.col("similarity") >= least).select("n", "window", F.explode("item_ids").alias("item_id"), "similarity"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
     return windows.join(sure, ["n", "window"]).groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").alias("n_windows")).select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.s")).alias("start"), "n_windows")
