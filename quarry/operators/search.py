@@ -205,8 +205,7 @@ def facets(found: DataFrame, everything: DataFrame) -> DataFrame:
         keys = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), (ux.authority(F.col("url")) if f == "domain" else F.col(f)).alias("key")) for f in FACETS])).alias("x")
         return rows.select(keys).groupBy("x.facet", "x.key").agg(F.count("*").alias("n"))
 
-    empty = counted(found).agg((F.count("*") == 0).alias("__none"))
-    n = counted(found).unionByName(counted(everything).crossJoin(F.broadcast(empty)).where("__none").drop("__none"))
+    n = counted(everything if found.isEmpty() else found)
     most = F.element_at(F.create_map(*[F.lit(x) for kv in FACETS.items() for x in kv]), F.col("facet"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "key"))).where(F.col("rank") <= most)
 

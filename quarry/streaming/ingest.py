@@ -21,7 +21,7 @@ def distinct_urls(items: DataFrame, column: str = "url", watermark: tuple[str, s
     return rows.dropDuplicates(["url_key"])
 
 
-def within_budget(items: DataFrame, budgets: dict[str, int], initial: dict[str, int] | None = None, order: str = "seq", shards: int = 1) -> DataFrame:
+def within_budget(items: DataFrame, budgets: dict[str, int], initial: dict[str, int] | None = None, order: str = "seq") -> DataFrame:
     """The first B items of each section, counted in state; ``initial`` is what was written before the first start.
 
     Inside a micro-batch items count in ``order``.  A section without a budget passes.
