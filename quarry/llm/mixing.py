@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch
 
 WEIGHTS, SHARE, REPEATS, MAX_SOURCES = (5, 2, 1), 1.5, 2, 100_000
-LEVELS, BITS = 4, 12
+LEVELS, BITS = 6, 8
 
 
 def targets(sizes: dict, weights: dict, share: float = SHARE, repeats: int = REPEATS) -> dict:
