@@ -71,22 +71,29 @@ def paths(nodes: DataFrame, branches: int = BRANCHES) -> DataFrame:
     rows = nodes.select("tree", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     real = rows.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     base = rows.join(real, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("n"))
-    jumps = [scratch.write(base)]
-    longest = _deepest(jumps[0])
-    while not (last := jumps[-1]).where("up is not null").isEmpty():
-        over = last.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("n").alias("n2"), F.lit(True).alias("there"))
-        step = last.join(over, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
-        jumps.append(scratch.write(step))
-        if 2 ** (len(jumps) - 1) > longest:  # whatever still has an ancestor ahead is on a cycle
-            break
-    total = jumps[-1].where("up is null")
-    inner = jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
+    level = scratch.write(base)
+    longest = _deepest(level)
+    reached = [level.where("up is null")]  # nodes whose pointer has passed their root: they are joined no more
+    jumps = [scratch.write(level.where("up is not null"))]
+    while not jumps[-1].isEmpty() and 2 ** (len(jumps) - 1) <= longest:  # beyond that, what has an ancestor ahead is on a cycle
+        last = known = jumps[-1]
+        for done in reached:
+            known = known.unionByName(done)
+        over = known.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("n").alias("n2"))
+        step = scratch.write(last.join(over, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("n") + F.col("n2")).alias("n")))
+        reached.append(step.where("up is null"))
+        jumps.append(scratch.write(step.where("up is not null")))
+    total = reached[0]
+    for done in reached[1:]:
+        total = total.unionByName(done)
+    inner = jumps[0].select("tree", F.col("up").alias("node")).distinct()
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("n")), F.desc("n"), "node"))
     chosen = scratch.write(total.join(inner, ["tree", "node"], "left_anti").withColumn("branch", rank).where(F.col("branch") <= branches).select("tree", F.col("node").alias("leaf"), "branch", F.col("n").alias("depth"), "node"))
     for k in range(len(jumps) - 1, -1, -1):  # reach 2^k: every node of the set adds the one that far above it
-        far = jumps[k].where("up is not null").select("tree", "node", "up")
+        far = jumps[k].select("tree", "node", "up")
         above = chosen.join(far, ["tree", "node"]).select("tree", "leaf", "branch", (F.col("depth") - F.lit(2**k)).alias("depth"), F.col("up").alias("node"))
         chosen = scratch.write(chosen.unionByName(above))
+    scratch.keep_only(chosen)
     return chosen
 
 
