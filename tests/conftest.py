@@ -11,7 +11,7 @@ _SHARED = tempfile.mkdtemp(prefix="quarry-tests-")
 # made before the test modules are imported: they build columns at module level
 _SPARK = (
     SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g")
-    .config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", f"{_SHARED}/shared").config("spark.sql.warehouse.dir", f"{_SHARED}/warehouse").getOrCreate()
+    .config("spark.ui.showConsoleProgress", "false").config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.checkpoint.dir", f"{_SHARED}/shared").config("spark.sql.warehouse.dir", f"{_SHARED}/warehouse").getOrCreate()
 )
 _SPARK.sparkContext.setLogLevel("ERROR")
 
