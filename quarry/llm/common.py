@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: ASCII whitespace as the word rule has it: bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Spark's setting that removes a query's shuffle files when it ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,15 +42,20 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="quarry-")
             sc.setCheckpointDir(base)
             atexit.register(shutil.rmtree, base, True)
-        self.path, self.n = f"{base}/{name}-{uuid.uuid4().hex}", 0
+        self.path, self.n, self.tables = f"{base}/{name}-{uuid.uuid4().hex}", 0, []
 
     def write(self, df: DataFrame) -> DataFrame:
-        """Writes df and reads it back: the lineage ends here, and a lost executor costs nothing before it."""
+        """Writes df and reads it back: the lineage ends here, a lost executor costs nothing before it, and the shuffle files that led here go."""
         self.n += 1
-        at = f"{self.path}/{self.n}"
-        df.write.parquet(at)
+        at, before = f"{self.path}/{self.n}", self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(at)
         out.scratch_path = at
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -58,6 +65,11 @@ class Scratch:
                 jvm = self.spark.sparkContext._jvm
                 to = jvm.org.apache.hadoop.fs.Path(at)
                 to.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+        self.tables = [t for t in self.tables if not any(t is df for df in tables)]
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Removes all tables but those that a lazy result still reads."""
+        self.drop(*[t for t in self.tables if not any(t is df for df in tables)])
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
@@ -75,10 +87,6 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
-
-
 def parts_for(rows: int, most: int, least: int = 64) -> int:
     """How many buckets keep each below ``most`` rows."""
     return max(least, -(-rows // most))

@@ -103,5 +103,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     near = probes.join(ball.hint("merge"), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("n", "fp", "item_fp").distinct()
     met = texts.join(scratch.write(near), ["n", "fp"]).join(items.withColumnRenamed("w", "item"), ["n", "item_fp"])
     sure = scratch.write(met.withColumn("similarity", similarity(shingles(F.col("window")), shingles(F.col("item")))).where(F.col("similarity") >= least).select("n", "window", F.explode("item_ids").alias("item_id"), "similarity"))
+    scratch.keep_only(windows, sure)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s")))
     return windows.join(sure, ["n", "window"]).groupBy("doc_id", "item_id").agg(best.alias("best"), F.count("*").alias("n_windows")).select("doc_id", "item_id", F.round("best.similarity", 6).alias("similarity"), (-F.col("best.s")).alias("start"), "n_windows")

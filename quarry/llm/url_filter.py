@@ -78,4 +78,5 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     decided = labels.withColumn("own", rule_for(host(F.col("node")), path(F.col("node")), rules)["verdict"])
     classes = scratch.write(decided.groupBy("label").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked")))
     passed = scratch.write(labels.join(classes, "label").select("node", F.col("label").alias("alias_class"), F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow").alias("passed")))
+    scratch.keep_only(passed)
     return own.join(passed, "node", "left").select("page_id", "host", "path", rule, F.coalesce(by_rule, "passed", F.lit("allow")).alias("verdict"), "alias_class")
