@@ -138,9 +138,11 @@ def links(distinct_fps: DataFrame, scratch: Scratch) -> DataFrame:
         return pa.table({"src": _as_long(pairs[:, 0]), "dst": _as_long(pairs[:, 1])})
 
     fps = distinct_fps.count()
-    halves = _balls(distinct_fps, _half_keys, 4096, parts_for(66 * fps, 2_000_000))
+    # a fingerprint grows to many rows: dealt out evenly first
+    halves = _balls(distinct_fps.repartition(parts_for(fps, 50_000, 8)), _half_keys, 4096, parts_for(66 * fps, 2_000_000))
     active = scratch.write(halves.groupBy("bucket").applyInArrow(partnered, "fp long").distinct())
-    balls = _balls(active, _ball_keys, 512, parts_for(2081 * active.count(), 2_000_000))
+    some = active.count()
+    balls = _balls(active.repartition(parts_for(some, 2_500, 8)), _ball_keys, 512, parts_for(2081 * some, 2_000_000))
     return balls.groupBy("bucket").applyInArrow(stars, "src long, dst long").distinct()
 
 
@@ -154,4 +156,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = scratch.write(distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label")))
     least = scratch.write(labelled.groupBy("label").agg(F.min("first").alias("component_id")))
     component = scratch.write(labelled.join(least, "label").select("fp", "component_id"))
+    scratch.keep_only(fps, component)
     return fps.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
