@@ -15,20 +15,17 @@ fifth as many entries as there are windows.
   whole word sequence with the smallest document that has it.  A window is a
   repeat if its sequence starts in a document with a smaller doc_id.
 
-Null texts have no words.  Repeated rows of one doc_id never cover each other
+Rows without a doc_id are no documents and are left out.  Null texts have no
+words.  Repeated rows of one doc_id never cover each other
 (no smaller doc_id) and each get a row.  Texts of any length are processed
 whole; an empty table gives an empty result.  Other columns are ignored.
-A frequent fingerprint has one entry per unit, not per document, and fewer
-than 96 equal bits never count as a repeat.
+A frequent fingerprint has one entry per unit, not per document.
 """
 
 from __future__ import annotations
 
-from itertools import compress
-
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -46,24 +43,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Vocabulary(dict):
-    """Word -> number; digests has 16 bytes a word.  Emptied when large, so its memory is bounded."""
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_WORDS_AT_ONCE = 250_000
+
 
-    def __init__(self):
-        self.digests = []
+def _weights(n: int, seed: int) -> np.ndarray:
+    """A random odd-ish 64-bit weight for each position in a word."""
+    return _mix(np.arange(1, n + 1, dtype=np.uint64) * _B1 + np.uint64(seed)) | np.uint64(1)
 
-    def __missing__(self, word):
-        n = self[word] = len(self.digests)
-        self.digests.append(xxhash.xxh3_128_digest(word))
-        return n
 
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.digests) > 400_000:
-            self.clear()
-            self.digests.clear()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        both = np.frombuffer(b"".join(self.digests), np.uint64).reshape(-1, 2)
-        return both[at, 0], both[at, 1]
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word: weighted sums of its bytes, mixed.  No step is per word in Python."""
+    out = np.empty((2, len(starts)), np.uint64)
+    if not len(starts):
+        return out[0], out[1]
+    tables = [_weights(int((ends - starts).max()), seed) for seed in (1, 2)]
+    for a in range(0, len(starts), _WORDS_AT_ONCE):
+        first, last = starts[a : a + _WORDS_AT_ONCE], ends[a : a + _WORDS_AT_ONCE]
+        size = last - first
+        at = np.cumsum(size) - size  # of each word among the words' bytes
+        inside = np.arange(int(size.sum())) - np.repeat(at, size)
+        value = buf[np.repeat(first, size) + inside].astype(np.uint64) + np.uint64(1)
+        for k, table in enumerate(tables):
+            out[k, a : a + _WORDS_AT_ONCE] = _mix(np.add.reduceat(table[inside] * value, at))
+    return out[0], out[1]
 
 
 def _poly(h: np.ndarray, k: int, base: np.uint64) -> np.ndarray:
@@ -87,19 +90,37 @@ def _smallest(x: np.ndarray, width: int) -> np.ndarray:
 
 
 class Unit:
-    """The words of a unit's documents as arrays."""
-
-    def __init__(self, ids: np.ndarray, bodies: list[bytes], vocabulary: Vocabulary):
-        self.ids, self.split = ids, [x.split() for x in bodies]
-        n = np.array([len(x) for x in self.split], np.int64)
-        self.words = [w for x in self.split for w in x]
-        self.end = np.cumsum(n)
-        self.h1, self.h2 = vocabulary.hashes(self.words)
-        self.row = np.repeat(np.arange(len(n)), n)  # of each word
-        at = np.arange(max(len(self.words) - WINDOW + 1, 0))
+    """The words of a unit's documents as arrays; each document ends with a space."""
+
+    def __init__(self, ids: bytes, sizes: bytes, body: bytes):
+        self.ids, self.whole = np.frombuffer(ids, np.int64), zstandard.ZstdDecompressor().decompress(body)
+        self.buf = np.frombuffer(self.whole, np.uint8)
+        space = _SPACE[self.buf]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if len(space) and not space[0]:
+            edge = np.r_[0, edge]
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.bytes_end = np.cumsum(np.frombuffer(sizes, np.int64))
+        self.row = np.searchsorted(self.bytes_end, self.starts, side="right")  # of each word
+        self.end = np.cumsum(np.bincount(self.row, minlength=len(self.ids)))
+        self.h1, self.h2 = word_hashes(self.buf, self.starts, self.ends)
+        at = np.arange(max(len(self.starts) - WINDOW + 1, 0))
         self.start = at[at + WINDOW <= self.end[self.row[: len(at)]]]  # windows within one document
         self.doc = self.ids[self.row[self.start]]
 
+    def kept(self, gone: np.ndarray) -> list[bytes]:
+        """Of each document the words that are not gone, joined by one space."""
+        words = np.flatnonzero(~gone)
+        mark = np.zeros(len(self.buf) + 1, np.int8)
+        mark[self.starts[words]] += 1
+        mark[self.ends[words] + 1] -= 1  # with the space behind
+        use = np.cumsum(mark[:-1], dtype=np.int8).astype(bool)
+        text = self.buf.copy()
+        text[self.ends[words]] = 32
+        out = text[use].tobytes()
+        cut = np.cumsum(use)[self.bytes_end - 1].tolist() if len(use) else []
+        return [out[a:z][:-1] for a, z in zip([0, *cut[:-1]], cut, strict=True)]
+
     def fingerprints(self) -> np.ndarray:
         """Of each window; the lowest bit is left free."""
         low = _smallest(_mix(_poly(self.h1, GRAM, _B1)), WINDOW - GRAM + 1)
@@ -148,33 +169,26 @@ def pack(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for cut in slices(batch, "text", UNIT_BYTES):
                 body, ids = texts(cut), cut.column("doc_id").to_numpy(zero_copy_only=False)
-                ends = np.array([len(x) for x in body], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary()), pa.array([squeeze.compress(b"".join(body))], pa.binary())], ["unit", "ids", "sizes", "body"])
+                sizes = np.array([len(x) + 1 for x in body], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([squeeze.compress(b"".join(x + b" " for x in body))], pa.binary())], ["unit", "ids", "sizes", "body"])
                 n += 1
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "unit long, ids binary, sizes binary, body binary")
 
 
-def _unpack(ids: bytes, sizes: bytes, body: bytes, vocabulary: Vocabulary) -> Unit:
-    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
-    whole = zstandard.ZstdDecompressor().decompress(body) if body else b""
-    return Unit(np.frombuffer(ids, np.int64), [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], vocabulary)
-
-
 def _batch_entries(units: DataFrame, n: int) -> DataFrame:
     """(bucket, unit, keys): the unit's distinct fingerprints, sorted; the lowest bit says that two of its documents have it."""
 
     def run(batches):
-        vocabulary = Vocabulary()
         for batch in batches:
             for row in batch.to_pylist():
-                u = _unpack(row["ids"], row["sizes"], row["body"], vocabulary)
+                u = Unit(row["ids"], row["sizes"], row["body"])
                 fp = u.fingerprints()
-                order = np.lexsort((u.doc, fp))
+                order = np.argsort(fp)
                 fp, doc = fp[order], u.doc[order]
                 first = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.zeros(0, np.int64)
-                last = np.r_[first[1:], len(fp)][: len(first)] - 1
-                keys = fp[first] | (doc[first] != doc[last]).astype(np.uint64)
+                several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first) if len(fp) else np.zeros(0, bool)
+                keys = fp[first] | several.astype(np.uint64)
                 cut = np.searchsorted(_bucket(keys, n), np.arange(n + 1))
                 full = np.flatnonzero(np.diff(cut))
                 yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([row["unit"]] * len(full), pa.int64()), pa.array([_sorted_bytes(keys[cut[b] : cut[b + 1]]) for b in full], pa.binary())], ["bucket", "unit", "keys"])
@@ -258,9 +272,10 @@ def _claims(units: DataFrame, hits: DataFrame, n: int) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return shape.empty_table()
         row = left.to_pylist()[0]
-        u = _unpack(row["ids"], row["sizes"], row["body"], Vocabulary())
-        keys = np.concatenate([_sorted_from(x) for x in right.column("keys").to_pylist()])
-        use = np.isin(u.fingerprints(), keys)
+        u = Unit(row["ids"], row["sizes"], row["body"])
+        keys = np.sort(np.concatenate([_sorted_from(x) for x in right.column("keys").to_pylist()]))
+        fp = u.fingerprints()
+        use = keys[np.minimum(np.searchsorted(keys, fp), len(keys) - 1)] == fp
         (w1, w2), doc = u.digests(), u.doc[use]
         w1, w2 = w1[use], w2[use]
         order = np.lexsort((doc, w2, w1))
@@ -302,11 +317,15 @@ def _repeats(claims: DataFrame) -> DataFrame:
 def _removed(u: Unit, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
     """Which words of the unit are covered by a repeat."""
     d1, d2 = u.digests()
-    order = np.lexsort((u.doc, d2, d1))
-    group = _groups(d1[order], d2[order])
-    least = u.doc[order][np.flatnonzero(np.r_[True, np.diff(group) > 0])] if len(order) else u.doc
     repeat = np.zeros(len(d1), bool)
-    repeat[order] = u.doc[order] > least[group] if len(order) else False
+    order = np.argsort(d1)
+    same = d1[order][1:] == d1[order][:-1]
+    some = order[np.r_[same, False] | np.r_[False, same]] if len(order) else order  # windows that may occur twice in the unit
+    if len(some):
+        some = some[np.lexsort((u.doc[some], d2[some], d1[some]))]
+        group = _groups(d1[some], d2[some])
+        least = u.doc[some][np.flatnonzero(np.r_[True, np.diff(group) > 0])]
+        repeat[some] = u.doc[some] > least[group]
     if len(w1):
         pair = np.dtype([("a", np.uint64), ("b", np.uint32)])
         at = np.searchsorted(w1, d1)
@@ -314,11 +333,11 @@ def _removed(u: Unit, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         mine, known = np.empty(len(same), pair), np.empty(len(w1), pair)
         mine["a"], mine["b"], known["a"], known["b"] = d1[same], d2[same], w1, w2
         repeat[same] |= np.isin(mine, known)
-    edge = np.zeros(len(u.words) + WINDOW + 1, np.int64)
-    start = u.start[repeat]
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + WINDOW, -1)
-    return np.cumsum(edge)[: len(u.words)] > 0
+    n, start = len(u.starts), u.start[repeat]  # starts are distinct
+    edge = np.zeros(n + WINDOW + 1, np.int64)
+    edge[start] += 1
+    edge[start + WINDOW] -= 1
+    return np.cumsum(edge)[:n] > 0
 
 
 def _kept(units: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -328,7 +347,7 @@ def _kept(units: DataFrame, repeats: DataFrame) -> DataFrame:
         if not left.num_rows:
             return shape.empty_table()
         row = left.to_pylist()[0]
-        u = _unpack(row["ids"], row["sizes"], row["body"], Vocabulary())
+        u = Unit(row["ids"], row["sizes"], row["body"])
         w1 = [_sorted_from(x) for x in right.column("w1").to_pylist()]
         w2 = [_unplanes(x, np.uint32) for x in right.column("w2").to_pylist()]
         w1, w2 = (np.concatenate(w1), np.concatenate(w2)) if w1 else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
@@ -337,8 +356,7 @@ def _kept(units: DataFrame, repeats: DataFrame) -> DataFrame:
         start = np.r_[0, u.end[:-1]]
         lost = np.r_[0, np.cumsum(gone)]
         lost = lost[u.end] - lost[start]
-        kept = [b" ".join(words if not n else compress(words, (~gone[a : a + len(words)]).tolist())) for words, a, n in zip(u.split, start.tolist(), lost.tolist(), strict=True)]
-        return pa.Table.from_arrays([pa.array(u.ids), pa.array(u.end - start), pa.array(lost), pa.array(kept, pa.binary()).cast(pa.string())], schema=shape)
+        return pa.Table.from_arrays([pa.array(u.ids), pa.array(u.end - start), pa.array(lost), pa.array(u.kept(gone), pa.binary()).cast(pa.string())], schema=shape)
 
     return units.groupBy("unit").cogroup(repeats.groupBy("unit")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
@@ -358,4 +376,51 @@ def dedup_substrings(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         found = index.add(_batch_entries(units.where(F.pmod(F.xxhash64("unit"), F.lit(batches)) == b), n))
         hits = found if hits is None else hits.unionByName(found)
     repeats = scratch.write(_repeats(_claims(units, hits, n)))
+    scratch.keep_only(units, repeats)
     return _kept(units, repeats)
+
+
+class SubstringStore:
+    """An index that outlives a job: units, runs and the number of buckets in a folder of the shared store.
+
+    ``add`` takes one more batch, cleans it against everything before it and
+    itself, and appends its units and its run.  Doc ids of later batches should
+    be larger: a window goes if it starts in a document with a smaller doc_id.
+    A batch counts once its entry in ``batches`` is written, which is the last
+    step; a job that was lost before leaves parts that no later batch reads.
+    """
+
+    def __init__(self, spark, path: str, buckets: int = 64, fan_in: int = FAN_IN):
+        self.spark, self.path, self.buckets, self.fan_in = spark, path, buckets, fan_in
+
+    def _batches(self) -> list[tuple[int, int, list[str]]]:
+        """(number, buckets, live runs) of each batch so far: one small row a batch."""
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches")
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return []
+        return sorted((r["batch"], r["buckets"], r["runs"]) for r in self.spark.read.parquet(f"{self.path}/batches").collect())
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """As dedup_substrings, for the documents of this batch."""
+        before = self._batches()
+        k, n = (before[-1][0] + 1, before[-1][1]) if before else (0, self.buckets)
+        scratch = Scratch(self.spark, "substring")
+        units = pack(docs).withColumn("unit", F.col("unit") + F.lit(k << 48))
+        units.write.mode("overwrite").parquet(f"{self.path}/units/{k}")
+        units = self.spark.read.schema(units.schema).parquet(f"{self.path}/units/{k}")
+        index = FingerprintIndex(scratch, n, fan_in=10**6)  # runs are written to the store below
+        index.runs = [self.spark.read.parquet(f"{self.path}/runs/{r}") for r in (before[-1][2] if before else [])]
+        hits = index.add(_batch_entries(units, n))
+        met = units
+        for b, _, _ in before:  # of earlier units only those that a hit names are read again
+            met = met.unionByName(self.spark.read.schema(units.schema).parquet(f"{self.path}/units/{b}").join(hits.select("unit").distinct(), "unit", "left_semi").select(*units.columns))
+        repeats = scratch.write(_repeats(_claims(met, hits, n)))
+        live = [*(before[-1][2] if before else []), str(k)]
+        if len(live) > self.fan_in:
+            index.compact()
+            live = [f"{k}-whole"]
+        index.runs[-1].write.mode("overwrite").parquet(f"{self.path}/runs/{live[-1]}")
+        scratch.keep_only(repeats)
+        self.spark.createDataFrame([(k, n, live)], "batch int, buckets int, runs array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+        return _kept(units, repeats)

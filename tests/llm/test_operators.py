@@ -454,3 +454,14 @@ def test_window_entropy(s):
 
 def test_ten_queries_and_their_sql():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11)) and set(queries.SQL) < set(queries.QUERIES)
+
+
+def test_substring_store_takes_batch_after_batch(spark, tmp_path):
+    rows = [(i, f"{prose(i % 9, 40, 60)} {prose(i, 15)}") for i in range(80)] + [(80, None)]
+    store = substring_dedup.SubstringStore(spark, str(tmp_path / "index"))
+    got = []
+    for a in range(0, 81, 17):
+        part = [r for r in rows if a <= r[0] < a + 17]
+        got += [tuple(r) for r in store.add(docs(spark, part, 2)).collect()]
+    assert sorted(got) == brute_substrings(rows)
+    assert len(store._batches()) == 5 and len(store._batches()[-1][2]) <= 2
