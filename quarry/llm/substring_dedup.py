@@ -375,6 +375,8 @@ def dedup_substrings(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     for b in range(batches):
         found = index.add(_batch_entries(units.where(F.pmod(F.xxhash64("unit"), F.lit(batches)) == b), n))
         hits = found if hits is None else hits.unionByName(found)
+    hits = scratch.write(hits)
+    scratch.keep_only(units, hits)  # this index was for one call; SubstringStore keeps its own
     repeats = scratch.write(_repeats(_claims(units, hits, n)))
     scratch.keep_only(units, repeats)
     return _kept(units, repeats)
