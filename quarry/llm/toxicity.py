@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import slices, texts
 from .langid import held_out
 
-MAX_TRAIN, LOG2, MIN_DOCS, L1, COUNTERFACTUAL, STEPS, LIMIT = 10_000, 18, 4, 3e-4, 1.0, 400, 0.3
+MAX_TRAIN, LOG2, MIN_DOCS, L1, COUNTERFACTUAL, STEPS, LIMIT = 10_000, 18, 4, 1e-4, 1.0, 200, 0.3
 # Groups of identity terms that are swapped for each other.
 IDENTITIES = (("women", "men"), ("woman", "man"), ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"), ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"), ("black", "white", "asian", "latino", "arab"), ("gay", "straight", "lesbian", "bisexual", "transgender"), ("immigrants", "refugees", "citizens"), ("disabled", "deaf", "blind"))
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
