@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SCALE, K, LEVELS, ROUNDS, BLOCK, QUERY_BLOCK = 1024, 10, 8, 8, 16384, 4096
+SCALE, K, LEVELS, ROUNDS, BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 1024, 10, 8, 8, 16384, 4096, 12
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -96,10 +96,14 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int =
     scratch = Scratch(spark, "topk")
     rows = scratch.write(quantised(vectors).withColumn("dims", F.size("v")))
     asked = scratch.write(quantised(queries).withColumn("dims", F.size("v")).dropDuplicates(["vec_id", "v"]))
-    n, m = -(-rows.count() // block) or 1, -(-asked.count() // query_block) or 1
+    size = rows.count()
+    # small tables are cut finer, so that a dozen tasks share them
+    n, m = max(-(-size // block), min(LEAST_BLOCKS, -(-size // 512)), 1), -(-asked.count() // query_block) or 1
     # a block of vectors is sent to each block of queries: both numbers come from counts
-    left = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    right = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(m))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # numbers of one type on both sides: else equal blocks would be dealt to different tasks
+    of = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
+    left = rows.withColumn("b", of(n)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    right = asked.withColumn("q", of(m)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def pair(x: pa.Table, y: pa.Table) -> pa.Table:
         out = [[], [], []]
