@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SCALE, K, LEVELS, ROUNDS, BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 1024, 10, 8, 8, 16384, 4096, 12
+SCALE, K, LEVELS, ROUNDS, BLOCK, QUERY_BLOCK, LEAST_BLOCKS = 1024, 10, 8, 8, 16384, 4096, 4
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -97,7 +97,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int =
     rows = scratch.write(quantised(vectors).withColumn("dims", F.size("v")))
     asked = scratch.write(quantised(queries).withColumn("dims", F.size("v")).dropDuplicates(["vec_id", "v"]))
     size = rows.count()
-    # small tables are cut finer, so that a dozen tasks share them
+    # small tables are cut finer, so that several tasks share them
     n, m = max(-(-size // block), min(LEAST_BLOCKS, -(-size // 512)), 1), -(-asked.count() // query_block) or 1
     # a block of vectors is sent to each block of queries: both numbers come from counts
     # numbers of one type on both sides: else equal blocks would be dealt to different tasks
