@@ -14,8 +14,8 @@
 
 Null texts match nothing; items of fewer than five words have no shingle and
 match nothing; documents shorter than an item are one window.  Items with the
-same words are one search.  Repeated rows of a doc_id give one result.  The
-benchmark may have any size: its shingles are broadcast only after a count.
+same words are one search.  The benchmark may have any size: its shingles are
+broadcast only after a count, with the same result.
 """
 
 from __future__ import annotations
@@ -26,13 +26,23 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WIDTH, SIMILARITY, RADIUS, BROADCAST_ROWS = 5, 0.8, 19, 500_000
+#: Bounds are compared with room for rounding.
+SLACK = 1e-6
 #: (first bit, bits): RADIUS // 5 = 3 bits at most differ in one of them.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
+def plain(text: Column) -> Column:
+    """The words, with a blank between."""
+    return F.trim(F.regexp_replace(F.lower(text.cast("string")), r"[^\p{L}\p{N}]+", " "))
+
+
+def cut(text: Column) -> Column:
+    return F.when(text != "", F.split(text, " ")).otherwise(F.array().cast("array<string>"))
+
+
 def words(text: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(text.cast("string")), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>"))
+    return cut(plain(text))
 
 
 def _each(w: Column, f) -> Column:
@@ -69,12 +79,20 @@ def _near(value: Column, bits: int) -> Column:
     return F.array_append(F.transform(F.array_distinct(flips), lambda m: value.bitwiseXOR(m)), value)
 
 
+def _characters(s: Column) -> Column:
+    return F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard of two shingle multisets."""
     times = lambda s, x: F.size(F.filter(s, lambda y: y == x))
-    total = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-    common = F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0).cast("long"), lambda acc, x: acc + F.length(x) * F.least(times(a, x), times(b, x)))
-    return common / (total(a) + total(b) - common)
+
+    def of(p):
+        common = F.aggregate(F.array_intersect(p["a"], p["b"]), F.lit(0).cast("long"), lambda acc, x: acc + F.length(x) * F.least(times(p["a"], x), times(p["b"], x)))
+        return F.transform(F.array(common), lambda c: c / (_characters(p["a"]) + _characters(p["b"]) - c))
+
+    # an array of one: the shingles are made once, not for each use
+    return F.get(F.flatten(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), of)), 0)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -83,18 +101,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     scratch = Scratch(spark, "decontaminate")
     items = benchmark.select(F.col("item_id").cast("long"), words(F.col("text")).alias("w")).where(F.size("w") >= WIDTH)
     items = scratch.write(items.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")).select("item_ids", "w", F.size("w").alias("n"), fingerprint(hashes(F.col("w"))).alias("item_fp")))
-    known = items.select("n", F.posexplode(hashes(F.col("w"))).alias("at", "h")).distinct()
-    source = docs.select(F.col("doc_id").cast("long"), words(F.col("text")).alias("w")).where(F.size("w") >= WIDTH)
-    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.size("w") - F.col("n")), F.lit(0))
-    if known.count() <= BROADCAST_ROWS:
-        laid = source.select("doc_id", "w", F.posexplode(hashes(F.col("w"))).alias("pos", "h")).join(F.broadcast(known), "h")
-    else:  # hashes travel without texts; only documents that share a shingle are read again
-        size = F.size("w").alias("size")
-        met = source.select("doc_id", F.posexplode(hashes(F.col("w"))).alias("pos", "h")).join(known, "h").select("doc_id", "pos", "at", "n").distinct()
-        laid = source.select("doc_id", "w", size).join(scratch.write(met), "doc_id")
-    windows = laid.select("doc_id", "n", start.alias("start"), F.slice("w", start + 1, F.col("n")).alias("window"))
-    windows = scratch.write(windows.groupBy("doc_id", "n", "start").agg(F.first("window").alias("window")))
-    texts = scratch.write(windows.groupBy("n", "window").agg(F.count("*").alias("copies")).select("n", "window", fingerprint(hashes(F.col("window"))).alias("fp")))
+    # need: the characters of the lightest item of that size, of which a window must share the part ``least``
+    need = items.groupBy("n").agg(F.min(_characters(shingles(F.col("w")))).alias("need"))
+    known = items.select("n", F.explode(F.arrays_zip(hashes(F.col("w")).alias("h"), shingles(F.col("w")).alias("s"))).alias("x"))
+    known = scratch.write(known.groupBy("n", F.col("x.h").alias("h")).agg(F.max(F.length("x.s")).alias("chars")).join(F.broadcast(need), "n"))  # one row for each size
+    source = scratch.write(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), plain(F.col("text")).alias("text")).where(F.size(cut(F.col("text"))) >= WIDTH))
+    cuts = source.select("row", "doc_id", cut(F.col("text")).alias("w"))
+    shared = cuts.select("row", F.size("w").alias("size"), F.posexplode(hashes(F.col("w"))).alias("pos", "h"))  # hashes travel without texts
+    hits = shared.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, "h")
+    # a window that starts in stretch k of n words ends in stretch k + 1 at the latest
+    stretch = F.floor(F.col("pos") / F.col("n"))
+    hits = hits.select("row", "n", "need", "size", "pos", "chars", F.explode(F.array(stretch, stretch - 1)).alias("part")).where("part >= 0")
+    hits = hits.groupBy("row", "n", "need", "size", "part").agg(F.collect_list(F.struct("pos", "chars")).alias("hits"), F.sum("chars").alias("most"))
+    first, last = F.col("part") * F.col("n"), F.greatest(F.col("size") - F.col("n"), F.lit(0))
+    hits = hits.where((F.col("most") >= least * F.col("need") - SLACK) & (first <= last))
+    inside = lambda at: F.aggregate(F.filter("hits", lambda x: (x["pos"] >= at) & (x["pos"] <= at + F.col("n") - WIDTH)), F.lit(0).cast("long"), lambda acc, x: acc + x["chars"])
+    starts = hits.select("row", "n", "need", F.explode(F.transform(F.sequence(first, F.least(first + F.col("n") - 1, last)), lambda at: F.struct(at.cast("int").alias("start"), inside(at).alias("shared")))).alias("x"))
+    starts = scratch.write(starts.select("row", "n", "need", "x.start", "x.shared").where(F.col("shared") >= least * F.col("need") - SLACK))
+    windows = cuts.join(starts, "row").select("doc_id", "n", "need", "start", "shared", F.slice("w", F.col("start") + 1, F.col("n")).alias("window"))
+    windows = scratch.write(windows.distinct())
+    scratch.drop(source, starts)
+    within = F.col("shared") * (1 + least) >= least * (_characters(shingles(F.col("window"))) + F.col("need")) - SLACK
+    texts = scratch.write(windows.select("n", "need", "shared", "window").distinct().where(within).select("n", "window", fingerprint(hashes(F.col("window"))).alias("fp")))
     of_item = F.array(*[F.struct(F.lit(b).alias("block"), _near(_block(F.col("item_fp"), *x), x[1]).alias("near")) for b, x in enumerate(BLOCKS)])
     ball = items.select("n", "item_fp").distinct().select("n", "item_fp", F.explode(of_item).alias("x")).select("n", "item_fp", "x.block", F.explode("x.near").alias("value"))
     of_window = F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), *x).alias("value")) for b, x in enumerate(BLOCKS)])
