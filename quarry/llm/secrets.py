@@ -26,8 +26,9 @@ HEX = r"[0-9a-f]{32,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: (class, pattern of the whole string, bits): the first that fits counts. Strings without a digit are words.
-CLASSES = (("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", 3.0), ("alnum", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", 3.6), ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.8))
+#: (class, pattern of the whole string, bits): the first that fits counts. Words without a digit stay below the limit of letters.
+CLASSES = (("hex", r"^(?=.*[0-9])(?=.*[a-fA-F])[0-9a-fA-F]+$", 3.0), ("alnum", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", 3.6), ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.8),
+           ("lower_digit", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", 3.6), ("upper_digit", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", 3.6), ("letters", r"^[A-Za-z]+$", 3.9), ("other", r"^.+$", 4.0))
 #: UUIDs, documented example keys, repeated placeholders.
 ALLOW = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"EXAMPLE", r"^(.)\1+$", r"^[xX0]+$")
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quarry.llm import decontaminate
+from quarry.llm import decontaminate, secrets
 from tests.llm.test_operators import brute_leaks, docs, prose
 
 
@@ -33,3 +33,15 @@ def test_windows_between_alignments(spark):
     assert {i for i, _ in want} >= set(range(6))  # no aligned window of these six is at 0.8
     got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs(spark, rows), benchmark(spark, items)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+# ---------------------------------------------------------------- op10_secrets
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"])
+def test_keys_of_every_alphabet(spark, alphabet):
+    r = random.Random(1)
+    keys = ["".join(r.choice(alphabet) for _ in range(40)) for _ in range(20)]
+    words = ["Donaudampfschifffahrtsgesellschaft", "internationalization_of_documents", "x" * 40]
+    got = {x.doc_id: x.spans for x in secrets.scan(docs(spark, list(enumerate(keys + words)))).collect()}
+    assert all([(s.start, s.kind, s.end) for s in got[i]] == [(0, 3, 40)] for i in range(20)) and not any(got[i] for i in range(20, 23))
