@@ -14,7 +14,9 @@
 
 Null texts match nothing; items of fewer than five words have no shingle and
 match nothing; documents shorter than an item are one window.  Items with the
-same words are one search.  The benchmark may have any size: its shingles are
+same words are one search.  Rows are searched one by one, also where doc_ids
+repeat or are null; the result has one row for each doc_id (null is one) and
+item, and equal windows at equal starts of one doc_id count once.  The benchmark may have any size: its shingles are
 broadcast only after a count, with the same result.
 """
 

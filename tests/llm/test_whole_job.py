@@ -35,6 +35,21 @@ def test_windows_between_alignments(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 1])
+def test_rows_of_one_doc_id_are_searched_each(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+    item = prose(7, 40, 3000)
+    start = " ".join(item.split()[:8])
+    # the same doc_id, size and start: one text holds the item, the others only its first words
+    clean = [f"{prose(9, 6)} {start} {prose(20 + i, 60)}" for i in range(6)]
+    bad = f"{prose(9, 6)} {item} {prose(10, 20)}"
+    rows = [(i, t) for i in (5, None) for t in (*clean[:3], bad, *clean[3:], bad)] + [(6, clean[0])]
+    got = decontaminate.contaminated(docs(spark, rows, 1), benchmark(spark, [(0, item)])).collect()
+    assert {(r.doc_id, r.item_id, r.similarity, r.start) for r in got} == {(5, 0, 1.0, 6), (None, 0, 1.0, 6)} and len(got) == 2
+    once = decontaminate.contaminated(docs(spark, [(5, bad)]), benchmark(spark, [(0, item)])).first()
+    assert {r.n_windows for r in got} == {once.n_windows}  # equal rows count once
+
+
 # ---------------------------------------------------------------- op10_secrets
 
 
