@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, langid, mixing, secrets, simhash
-from quarry.llm.common import Scratch, table
+from quarry.llm.common import WORD, Scratch, table
 
 #: A document's language is known if it is at least as likely as all others together.
 LEAST_SCORE = 0.5
@@ -22,16 +22,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, model, LEAST_SCORE)
 
 
+def keyed(spark: SparkSession, docs: DataFrame, stage: str) -> DataFrame:
+    """docs with a unique key of each row, __row; written, so that it is the same whenever it is read."""
+    return Scratch(spark, stage).write(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates stays."""
-    first = simhash.near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near-duplicates stays: the one with the smallest doc_id (null is last, of equal ones any)."""
+    rows = keyed(spark, docs, "dedup")
+    groups = simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = rows.select("__row", "doc_id").join(groups, "__row").groupBy("component_id").agg(F.min(order).alias("x")).select("x.__row")
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    found = decontaminate.contaminated(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a benchmark item go, each by its own text."""
+    rows = keyed(spark, docs, "decontamination")
+    found = decontaminate.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +50,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with the words it takes of each (repeats counted)."""
-    taken = mixing.mix(docs.select("doc_id", "source", "text")).where("taken > 0").select("doc_id", "size", "target", "taken").distinct()
+    # what is taken of a row follows from its doc_id, source and size: one match for each row, nulls included
+    taken = mixing.mix(docs.select("doc_id", "source", "text")).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "size", "target", "taken").distinct()
     own = [c for c in docs.columns if c not in ("size", "target", "taken")]
-    return docs.select(*own).join(taken, "doc_id").select(*own, "size", "target", "taken")
+    rows = docs.select(*own, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("__size"))
+    same = rows["doc_id"].eqNullSafe(taken["__id"]) & rows["source"].eqNullSafe(taken["__source"]) & (rows["__size"] == taken["size"])
+    return rows.join(taken, same).select(*own, "size", "target", "taken")
 
 
 STAGES = [("language ID", language_id), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("secret scans", secret_scan), ("mixing sources", mixture)]

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+import corpus_pipeline
 from quarry.llm import decontaminate, secrets
 from tests.llm.test_operators import brute_leaks, docs, prose
 
@@ -60,3 +61,16 @@ def test_keys_of_every_alphabet(spark, alphabet):
     words = ["Donaudampfschifffahrtsgesellschaft", "internationalization_of_documents", "x" * 40]
     got = {x.doc_id: x.spans for x in secrets.scan(docs(spark, list(enumerate(keys + words)))).collect()}
     assert all([(s.start, s.kind, s.end) for s in got[i]] == [(0, 3, 40)] for i in range(20)) and not any(got[i] for i in range(20, 23))
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_null_and_repeated_doc_ids(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 50)
+    rows = [(None, a), (4, a), (4, a), (None, b), (4, c)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("4", a), ("None", b), ("4", c)])
+    mixed = corpus_pipeline.mixture(spark, df, "").collect()
+    assert sorted((str(r.doc_id), r.text) for r in mixed) == sorted((str(i), t) for i, t in rows)
