@@ -1,12 +1,17 @@
 """Cases that an operator once left out."""
 
+import hashlib
+import math
 import random
+import re
+import time
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
 from quarry.llm import decontaminate, secrets
-from tests.llm.test_operators import brute_leaks, docs, prose
+from tests.llm.test_operators import brute_leaks, brute_spans, docs, prose
 
 
 def benchmark(spark, items):
@@ -63,6 +68,41 @@ def test_keys_of_every_alphabet(spark, alphabet):
     assert all([(s.start, s.kind, s.end) for s in got[i]] == [(0, 3, 40)] for i in range(20)) and not any(got[i] for i in range(20, 23))
 
 
+def brute_entropy(text, width=secrets.WINDOW):
+    """Every span of kind entropy, window by window."""
+    h = lambda w: -sum(n / len(w) * math.log2(n / len(w)) for n in Counter(w).values())
+    base, out = brute_spans(text), []
+    for m in re.finditer(secrets.CANDIDATE, text):
+        s = m[0]
+        bits = next(b for _, p, b in secrets.CLASSES if re.search(p, s))
+        if any(re.search(p, s) for p in secrets.ALLOW) or any(a <= m.start() and m.end() <= z for a, _, z in base):
+            continue
+        if max(h(s[i : i + width]) for i in range(len(s) - width + 1)) >= bits - 1e-9:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_entropy_spans_are_those_of_brute_force(spark):
+    r = random.Random(5)
+    alphabets = ["0123456789abcdef", "abcdefghijklmnop", "ABCXYZ0189", "abcABC012+/_-=", "ab01", "x"]
+    piece = lambda: "".join(r.choice(r.choice(alphabets)) for _ in range(r.choice((5, 19, 20, 21, 40, 127, 128, 129, 147, 148, 300))))
+    one = lambda: (lambda a: "".join(r.choice(a) for _ in range(r.choice((19, 20, 33, 128, 148, 149, 260)))))(r.choice(alphabets))
+    texts = [" ".join(r.choice((piece, one, lambda: "é word", lambda: f"token={one()}"))() for _ in range(12)) for _ in range(60)]
+    texts += [" ".join(f"{i:032x}" for i in range(300)), "y" * 19 + "Q7kP2mX9vB4nL8sD1fGh" + "y" * 300, "A" * 200 + "Q7kP2mX9vB4nL8sD1fGh"]
+    got = {x.doc_id: [(s.start, s.kind, s.end) for s in x.spans] for x in secrets.scan(docs(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: sorted(brute_spans(t) + brute_entropy(t)) for i, t in enumerate(texts)}
+    assert sum(k == 3 for v in got.values() for _, k, _ in v) > 100
+
+
+def test_a_million_characters(spark):
+    r = random.Random(1)
+    texts = {"random": "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=10**6)), "poor": "".join(r.choices("abAB0-", k=10**6)), "keys": " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(30_000))}
+    began = time.time()
+    got = {x.doc_id: [(s.start, s.kind, s.end) for s in x.spans] for x in secrets.scan(docs(spark, list(enumerate(texts.values())))).collect()}
+    assert time.time() - began < 100  # seconds here; growth with the square of the length would take hours
+    assert got == {i: sorted(brute_spans(t) + ([(0, 3, 10**6)] if k == "random" else [])) for i, (k, t) in enumerate(texts.items())}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
