@@ -41,6 +41,31 @@ def test_windows_between_alignments(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
+def test_random_edits(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.choice((1, 2, 3, 5, 8, 14))))
+    items, rows = [], []
+    for i in range(80):
+        item = [word() for _ in range(r.randrange(20, 90))]
+        text = list(item)
+        for _ in range(r.randrange(0, 6)):
+            at = r.randrange(len(text))
+            text[at : at + r.randrange(0, 3)] = [word() for _ in range(r.randrange(0, 3))]
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join([*(word() for _ in range(r.randrange(0, 30))), *text, *(word() for _ in range(r.randrange(0, 30)))])))
+    want = brute_leaks(rows, items)
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.contaminated(docs(spark, rows), benchmark(spark, items)).collect()}
+    assert len(want) >= 30 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_clean_keeps_rows_by_their_own_text(spark):
+    item, other = prose(7, 40, 3000), prose(8, 60, 3000)
+    rows = [(1, item), (1, other), (None, item), (None, other), (None, None), (2, other)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, k1 string")
+    kept = decontaminate.clean(df, benchmark(spark, [(0, item)]))
+    assert kept.columns == df.columns and sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, other), (None, other), (None, None), (2, other)]))
+
+
 @pytest.mark.parametrize("limit", [decontaminate.BROADCAST_ROWS, 1])
 def test_rows_of_one_doc_id_are_searched_each(spark, limit, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
