@@ -38,9 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark item go, each by its own text."""
-    rows = keyed(spark, docs, "decontamination")
-    found = decontaminate.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return rows.join(found.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
