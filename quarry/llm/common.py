@@ -39,6 +39,8 @@ class Scratch:
             at = sc._jsc.sc().getCheckpointDir()
             base = at.get() if at.isDefined() else None
         if not base:
+            if not sc.master.startswith("local"):  # each machine would write to a disk of its own
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="quarry-")
             sc.setCheckpointDir(base)
             atexit.register(shutil.rmtree, base, True)

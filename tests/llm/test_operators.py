@@ -187,14 +187,39 @@ def test_language(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in held.items())
 
 
-def test_language_score_is_the_posterior():
-    langs, logs = ["a", "b"], np.zeros((2, langid.BUCKETS + 1))
-    logs[0] -= 1.0
-    pred, score = langid.score_texts(["x"], langs, logs)
-    n = sum(z - a for a, z in langid.ngrams(["x"])[1].tolist()) * 2 + 1
-    assert pred == ["b"] and abs(score[0] - 1 / (1 + math.exp(-n))) < 1e-12
-    long, short = langid.score_texts(["abc " * 3, "abc " * 3 + "é"], langs, logs), langid.score_texts(["abc " * 3], langs, logs)
-    assert long[1][0] == short[1][0]  # whatever the neighbours
+def brute_bayes(rows, text):
+    """Multinomial naive Bayes gram by gram: the language and its posterior."""
+    def grams(t):
+        low = f" {t.lower()} "
+        for n in (2, 3):
+            for i in range(len(low) - n + 1):
+                acc = ord(low[i]) * 0x9E3779B1 % 2**32
+                for k, mul in zip(range(1, n), (0x85EBCA77, 0xC2B2AE3D)):
+                    acc = ((acc ^ acc >> 15) + ord(low[i + k]) * mul) % 2**32
+                yield acc * 0x27D4EB2F % 2**32 >> 17
+
+    counts, n = {}, Counter()
+    for t, lang in rows:
+        n[lang] += 1
+        counts.setdefault(lang, Counter()).update(grams(t))
+    total = {k: math.log(n[k] / sum(n.values())) + sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * 2**15)) for g in grams(text)) for k, c in counts.items()}
+    best = max(sorted(total), key=total.get)
+    return best, 1 / sum(math.exp(x - total[best]) for x in total.values())
+
+
+@pytest.mark.parametrize("block", [64, 3])
+def test_language_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(langid, "CELLS", 7 if block == 3 else 1 << 20)
+    r = random.Random(3)
+    alphabets = {f"l{k}": [chr(97 + (k * 3 + j) % 26) for j in range(9)] for k in range(8)} | {"ü": list("üöä ß")}
+    rows = [(" ".join("".join(r.choices(a, k=r.randrange(1, 6))) for _ in range(r.randrange(1, 6))), lang) for lang, a in alphabets.items() for _ in range(4)]
+    asked = [t for t, _ in rows[::3]] + ["a", "É x", "ab " * 30, "z" * 40]
+    model = langid.train(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string"))
+    model.block = block
+    got = {x.doc_id: (x.lang_pred, x.score) for x in langid.identify(docs(spark, list(enumerate(asked))), model).collect()}
+    for i, t in enumerate(asked):
+        lang, score = brute_bayes(rows, t)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9, t
 
 
 # ---------------------------------------------------------------- 5
