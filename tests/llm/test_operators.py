@@ -375,7 +375,9 @@ def test_targets():
         assert not free or max(free) - min(free) < 1e-5 and all(got[i] / weights[i] <= max(free) + 1e-6 for i in sizes)
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("heavy", [mixing.HEAVY, 3])
+def test_mixing(spark, monkeypatch, heavy):
+    monkeypatch.setattr(mixing, "HEAVY", heavy)  # more sources than that: some are broadcast, the others shuffled
     r = random.Random(2)
     rows = [(i, prose(i, r.randrange(0, 60)) if i % 9 else None, "en", ["a", "b", "hot", "hot", "hot", None, "Z"][i % 7], 0, 1, "x") for i in range(400)]
     rows += [(1000, prose(1, 15_000), "en", "b", 0, 1, "x"), (1001, "same doc", "en", "a", 0, 1, "x"), (1001, "same doc", "en", "a", 0, 1, "x"), (1002, "", "en", "empty", 0, 1, "x")]
