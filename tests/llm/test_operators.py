@@ -355,7 +355,71 @@ def test_counterfactuals_protect_neutral_mentions():
     assert gap(plain) > 1.0 and gap(fair) < 0.3
     neutral = [toxicity.score_words({b"muslims", b"w1"}, w) for w in (plain, fair)]
     assert neutral[1] < neutral[0] and fair[toxicity.bucket(b"scum")] > 1
-    assert toxicity.swapped({b"women", b"x"}) == {b"men", b"x"} and toxicity.swapped({b"x"}) is None
+    assert toxicity.swaps({b"women", b"x"}) == [{b"men", b"x"}] and toxicity.swaps({b"x"}) == []
+    assert toxicity.swaps({b"deaf", b"men"}, (("women", "men"), ("disabled", "deaf", "blind"))) == [{b"blind", b"women"}, {b"disabled", b"men"}]
+
+
+def plain_fit(words, labels, groups, counterfactual, l1, steps=40_000):
+    """The same problem by plain proximal steps on a dense matrix of words."""
+    names = sorted(set().union(*words, *(z for x in words for z in toxicity.swaps(x, groups))))
+    dense = lambda sets: np.array([[w in x for w in names] for x in sets], float).reshape(-1, len(names))
+    x, y = dense(words), np.array(labels, float)
+    own = [(a, toxicity.swaps(a, groups)) for a in words]
+    change = np.concatenate([(dense(z) - dense([a])) / math.sqrt(len(z)) for a, z in own if z] or [np.zeros((1, len(names)))])
+    m, w, bias, step = max(sum(bool(z) for _, z in own), 1), np.zeros(len(names)), 0.0, 0.2
+    for _ in range(steps):
+        r = (1 / (1 + np.exp(-(x @ w + bias))) - y) / len(y)
+        new = w - step * (x.T @ r + 2 * counterfactual / m * change.T @ (change @ w))
+        w, bias = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0), bias - step * r.sum()
+    return dict(zip(names, w)), bias
+
+
+@pytest.mark.parametrize("counterfactual", [0.0, 1.0])
+def test_fit_is_the_plain_solution(counterfactual):
+    r = random.Random(6)
+    groups = (("deaf", "blind", "mute"),)
+    words, labels = [], []
+    for i in range(60):
+        x = {f"w{r.randrange(8)}".encode() for _ in range(4)}
+        if i % 3 == 0:
+            x |= {r.choice(groups[0]).encode()}
+        words.append(x)
+        labels.append(int(b"w1" in x or (b"deaf" in x and r.random() < 0.8)))
+    got = toxicity.fit(words, labels, groups, counterfactual, 1e-2, 3000, 1)
+    want, bias = plain_fit(words, labels, groups, counterfactual, 1e-2)
+    assert abs(got[-1] - bias) < 1e-3 and all(abs(got[toxicity.bucket(w)] - v) < 1e-3 for w, v in want.items())
+
+
+def identity_sentences(seed, n):
+    """Labelled sentences in which one group of each kind is named more often in toxic ones, though it is no reason."""
+    r = random.Random(seed)
+    for i in range(n):
+        group = r.choice([g for g in toxicity.IDENTITIES if len(g) > 2])
+        toxic = i % 4 == 0
+        named = group[0] if r.random() < (0.8 if toxic else 0.15) else r.choice(group[1:])
+        yield {named.encode(), *(f"w{r.randrange(150)}".encode() for _ in range(9))} | ({r.choice((b"scum", b"trash"))} if toxic and r.random() < 0.7 else set()), int(toxic), group
+
+
+def test_score_gap_between_groups(capsys):
+    rows = list(identity_sentences(1, 900))
+    fits = {c: toxicity.fit([w for w, _, _ in rows], [t for _, t, _ in rows], counterfactual=c) for c in (0.0, 1.0)}
+    neutral = [(f"w{i}".encode(), g) for i, (_, t, g) in enumerate(identity_sentences(2, 150)) if not t]
+    gap, alarms = {}, {}
+    for c, w in fits.items():
+        of = [[toxicity.score_words({a.encode(), b, b"w3"}, w) for a in g] for b, g in neutral]
+        gap[c], alarms[c] = np.mean([max(x) - min(x) for x in of]), sum(s >= toxicity.LIMIT for x in of for s in x)
+    with capsys.disabled():
+        print(f" gap {gap[0.0]:.3f} -> {gap[1.0]:.3f}, alarms {alarms[0.0]} -> {alarms[1.0]} of {sum(len(g) for _, g in neutral)} ", end="")
+    assert gap[1.0] < gap[0.0] / 3 and alarms[1.0] < alarms[0.0]
+    caught = lambda w: np.mean([toxicity.score_words(x, w) >= toxicity.LIMIT for x, t, _ in identity_sentences(3, 400) if t and x & {b"scum", b"trash"}])
+    assert caught(fits[1.0]) >= caught(fits[0.0]) - 0.1
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(1, "a b"), (1, "a c")] + [(i, f"w{i} x") for i in range(2, 40)] + [(3, "w3 x")] * 30
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    whole, some = toxicity.train(docs(spark, rows), lab), toxicity.train(docs(spark, rows), lab, most_bytes=30)
+    assert np.isfinite(whole[-1]) and np.isfinite(some[-1]) and not np.array_equal(whole, some)
 
 
 # ---------------------------------------------------------------- 8
