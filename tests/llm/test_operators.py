@@ -246,14 +246,43 @@ def test_reply_trees(spark):
     assert got == {(1, 1): [1, 3, 6, 7], (1, 2): [1, 2, 5], (2, 1): [9]}
     out = {(r.tree, r.branch): r for r in chat.format_trees(df, 1).collect()}
     assert chat.parse_turns(out[(1, 1)].formatted) == [("user", "q"), ("assistant", ""), ("", "u6"), ("assistant", "a7")] and out[(1, 1)].n_turns == 4
-    assert chat.format_trees(df.limit(0)).count() == 0
+    assert chat.format_trees(df.limit(0)).count() == 0 and chat.digests(chat.format_trees(df.limit(0))).count() == 0
+    again = df.unionByName(df).unionByName(df.withColumn("node", F.lit(None).cast("long")))
+    assert sorted(map(str, chat.format_trees(again, 2).collect())) == sorted(map(str, chat.format_trees(df, 2).collect()))
 
 
-def test_conversations(spark):
-    rows = [(1, 2, "assistant", "é <|end|>", "c"), (1, 0, "user", None, "c"), (1, 1, "user", "tie", "c"), (1, 1, "assistant", "tie", "c"), (2, 0, None, "", "c"), (3, None, "user", "no turn", "c"), *[(4, i, "user", f"t{i}", "c") for i in range(40)]]
+def brute_paths(rows, branches):
+    """Best root-to-leaf paths by walking each tree."""
+    out = []
+    for tree in {r[0] for r in rows}:
+        up = {r[1]: r[2] for r in rows if r[0] == tree}
+        score = {r[1]: r[3] or 0.0 for r in rows if r[0] == tree}
+        found = []
+        for leaf in up.keys() - set(up.values()):
+            path = [leaf]
+            while up[path[-1]] in up:
+                path.append(up[path[-1]])
+            found.append((-sum(score[x] for x in path) / len(path), -len(path), leaf, path[::-1]))
+        out += [(tree, k + 1, tuple(p)) for k, (_, _, _, p) in enumerate(sorted(found)[:branches])]
+    return sorted(out)
+
+
+def test_random_reply_trees(spark):
+    r = random.Random(9)
+    rows = [(t, 1000 * t + i, 1000 * t + r.randrange(max(i - 6, 0), i) if i and r.random() < 0.95 else None, float(r.randrange(8))) for t in range(12) for i in range(r.choice((1, 5, 60)))]
+    got = {}
+    for x in sorted(chat.paths(spark.createDataFrame(rows, "tree long, node long, parent long, score double"), 3).collect(), key=lambda x: x.depth):
+        got.setdefault((x.tree, x.branch), []).append(x.node)
+    assert sorted((t, b, tuple(p)) for (t, b), p in got.items()) == brute_paths(rows, 3)
+
+
+@pytest.mark.parametrize("part", [chat.PART, 3])
+def test_conversations(spark, monkeypatch, part):
+    monkeypatch.setattr(chat, "PART", part)
+    rows = [(None, 1, "assistant", "b", "c"), (None, 0, "user", "a", "c"), (0, 0, "user", "zero", "c"), (1, 2, "assistant", "é <|end|>", "c"), (1, 0, "user", None, "c"), (1, 1, "user", "tie", "c"), (1, 1, "assistant", "tie", "c"), (2, 0, None, "", "c"), (3, None, "user", "no turn", "c"), *[(4, i, "user", f"t{i}", "c") for i in range(40)]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node string")
     got = {r.conv_id: r for r in chat.digests(chat.format_trees(chat.as_chains(df.drop("node")))).collect()}
-    want = {1: [("user", ""), ("assistant", "tie"), ("user", "tie"), ("assistant", "é <|end|>")], 2: [("", "")], 3: [("user", "no turn")], 4: [("user", f"t{i}") for i in range(40)]}
+    want = {None: [("user", "a"), ("assistant", "b")], 0: [("user", "zero")], 1: [("user", ""), ("assistant", "tie"), ("user", "tie"), ("assistant", "é <|end|>")], 2: [("", "")], 3: [("user", "no turn")], 4: [("user", f"t{i}") for i in range(40)]}
     assert set(got) == set(want)
     for k, turns in want.items():
         loss = "".join(t for r, t in turns if r == "assistant")
