@@ -8,7 +8,8 @@ member is explicitly allowed, else block if any member is blocked, else allow.
 A rule of its own always stands.
 
 Edges come from the html: ``<link rel=canonical>`` and ``<meta http-equiv=
-refresh>``; a table of redirects (src, dst) can be added.  Null urls and urls
+refresh>``; a table of redirects (src, dst) can be added.  Spellings of one url
+(case of host, default port, dot segments, empty path, fragment) are one node.  Null urls and urls
 without ``://`` have empty host and path, fit no rule and have no aliases.
 Repeated rows each get a row; an empty table gives an empty result.
 """
@@ -42,22 +43,36 @@ def rule_for(h: Column, p: Column, rules=RULES) -> Column:
     return out
 
 
+def _undotted(p: Column) -> Column:
+    """A path without . and .. segments."""
+    none = F.array().cast("array<string>")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x))
+    kept = F.aggregate(F.split(F.substr(p, F.lit(2)), "/", -1), none, step)
+    return F.when(p.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(p.rlike(r"/\.\.?$"), F.when(F.size(kept) > 0, "/").otherwise("")).otherwise(""))).otherwise(p)
+
+
 def node(url: Column) -> Column:
-    """A url as a node: scheme and host in lower case, no fragment; null if there is no ://."""
+    """A url as a node: scheme and host in lower case, no default port, no dot segments, / for an empty path, no fragment; null if there is no ://."""
     bare = F.regexp_extract(url, r"^(?s)([^#]*)", 1)
-    start = F.regexp_extract(bare, r"^(?s)(.*?://[^/?]*)", 1)
-    return F.when(start != "", F.concat(F.translate(start, UPPER_AZ, LOWER_AZ), F.substr(bare, F.length(start) + 1)))
+    start = F.translate(F.regexp_extract(bare, r"^(?s)(.*?://[^/?]*)", 1), UPPER_AZ, LOWER_AZ)
+    start = F.regexp_replace(F.regexp_replace(start, r"^(http://.*):(?:80)?$", "$1"), r"^(https://.*):(?:443)?$", "$1")
+    p, query = path(bare), F.regexp_extract(bare, r"^(?s)[^?]*(\?.*)$", 1)
+    return F.when(start != "", F.concat(start, F.when(p == "", "/").otherwise(_undotted(p)), query))
+
+
+#: A link or meta tag that names an alias; rel may hold several words.
+_CANONICAL, _REFRESH = r"""(?is)[\s"'/]rel\s*=\s*(?:"(?:[^"]*\s)?canonical[\s"]|'(?:[^']*\s)?canonical[\s']|canonical[\s/>])""", r"""(?is)[\s"'/]http-equiv\s*=\s*["']?refresh"""
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst) nodes of canonical and refresh links in the html."""
-    tags = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)rel\s*=\s*[\"']?canonical|http-equiv\s*=\s*[\"']?refresh"))
-    target = F.transform(tags, lambda t: F.replace(F.coalesce(F.nullif(F.regexp_extract(t, r"(?is)href\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")), F.regexp_extract(t, r"(?is)url\s*=\s*[\"']?([^\"'\s>]+)", 1)), F.lit("&amp;"), F.lit("&")))
+    tags = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(_CANONICAL) | t.rlike(_REFRESH))
+    target = F.transform(tags, lambda t: F.replace(F.coalesce(F.nullif(F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")), F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)), F.lit("&amp;"), F.lit("&")))
     rows = pages.where(F.col("html").rlike(r"(?i)canonical|refresh")).select(F.col("url"), F.explode(target).alias("to")).where("to <> '' and url like '%://%'")
     site = F.regexp_extract("url", r"^(?s)(.*?://[^/?#]*)", 1)
     folder = F.concat(site, F.coalesce(F.nullif(F.regexp_extract(path(F.col("url")), r"^(?s)(.*/)", 1), F.lit("")), F.lit("/")))
     to = F.col("to")
-    whole = F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), to).when(to.startswith("//"), F.concat(F.regexp_extract("url", r"^(?s)(.*?:)//", 1), to)).when(to.startswith("/"), F.concat(site, to)).otherwise(F.concat(folder, to))
+    whole = F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), to).when(to.startswith("//"), F.concat(F.regexp_extract("url", r"^(?s)(.*?:)//", 1), to)).when(to.startswith("/"), F.concat(site, to)).when(to.startswith("?"), F.concat(site, path(F.col("url")), to)).when(to.startswith("#"), F.col("url")).otherwise(F.concat(folder, to))
     return rows.select(node(F.col("url")).alias("src"), node(whole).alias("dst")).where("dst is not null")
 
 

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import urljoin, urlsplit
 
 import numpy as np
 import pytest
@@ -93,6 +94,49 @@ def test_aliases(spark):
     assert judge(spark, []) == {}
 
 
+def brute_node(url):
+    if "://" not in url:
+        return None
+    u = urlsplit(url)
+    host = re.sub(r"^(http://.*):80$|^(https://.*):443$", lambda m: m[1] or m[2], f"{u.scheme}://{u.netloc}".lower())
+    return host + (urlsplit(urljoin(url, u.path)).path or "/") + (f"?{u.query}" if u.query else "")
+
+
+def brute_judge(pages, redirects):
+    """Verdicts by a union-find over normal forms."""
+    def own(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
+        h, p = (m[1].lower(), m[2]) if m else ("", "")
+        fits = [(len(rh + rp), v) for v, rh, rp in url_filter.RULES if (h == rh or h.endswith(f".{rh}")) and p.startswith(rp)]
+        return max(fits)[1] if fits else None
+
+    edges = [(brute_node(a), brute_node(urljoin(a, b))) for a, to in pages for b in to] + [(brute_node(a), brute_node(b)) for a, b in redirects]
+    label = components({x for e in edges for x in e}, edges)
+    said = {}
+    for x, k in label.items():
+        said.setdefault(k, set()).add(own(x))
+    out = []
+    for url, _ in pages:
+        group = said.get(label.get(brute_node(url)), set())
+        out.append(own(url) or ("allow" if "allow" in group or "block" not in group else "block"))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_alias_graphs(spark, seed):
+    r = random.Random(seed)
+    hosts = ["a.com", "Example.com", "b.net", "x.example.net", "c.org", "d.xyz", "e.xyz:80", *(f"s{i}.xyz" for i in range(25))]
+    place = lambda: r.choice(("", "/", "/en/7", "/en/1", "/de/8", "/de/1", "/es/", "/q/../en/2", "/./z", "/a/b", "/a/c?x=1", "/a/b#top"))
+    ruled = ["http://A.com/en/1", "http://c.org:80/es/", "http://x.example.net/de/8", "http://c.org/es/2"] * 3 + ["http://b.net/de/1"]
+    url = lambda: r.choice(ruled) if r.random() < 0.2 else f"http://{r.choice(hosts)}{place()}"
+    pages = [(url(), [r.choice((url(), "/es/", "b", "../up", "?y=2"))] if r.random() < 0.2 else []) for _ in range(160)]
+    redirects = [(url(), url()) for _ in range(12)]
+    tag = lambda to: r.choice((f'<link data-x=1 rel="nofollow canonical" href="{to}">', f"<LINK rel='canonical' href='{to}'/>", f'<meta http-equiv=refresh content="3; url={to}">'))
+    got = judge(spark, [(u, "<p>" + "".join(map(tag, to))) for u, to in pages], redirects=spark.createDataFrame(redirects, "src string, dst string"))
+    assert [got[i].verdict for i in range(len(pages))] == brute_judge(pages, redirects)
+    assert any(got[i].verdict == "block" and got[i].rule is None for i in got)
+
+
 # ---------------------------------------------------------------- 2
 
 
