@@ -186,7 +186,7 @@ def test_top_k(spark):
     q = np.floor(1024 * v.astype(np.float32).astype(float)).astype(int)
     usable = {i: q[i] for i in range(400)} | {1500: np.zeros(16, int)}
     got = {}
-    for r in topk.exact_top_k(df, df.where("vec_id % 100 = 0"), block=90, query_block=2).collect():
+    for r in topk.exact_top_k(df, df.where("vec_id % 100 = 0"), block=20, wave_bytes=300).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
     for i in [i for i in usable if i % 100 == 0]:
         best = sorted(((j, int(usable[i] @ x)) for j, x in usable.items() if j != i), key=lambda p: (-p[1], p[0]))[:10]
@@ -195,6 +195,33 @@ def test_top_k(spark):
     assert topk.exact_top_k(df.limit(0), df).count() == 0
 
 
+def test_repeated_queries_and_huge_components(spark):
+    rng = np.random.default_rng(5)
+    v = {i: [float(x) for x in rng.normal(size=4).round(2)] for i in range(1, 30)}
+    rows = [(0, [1.0, 2.0, 3.0, 4.0]), (0, [1.0, 2.0, 3.0, 4.0]), (0, [-1.0, 0.5, 0.0, 2.0]), *v.items(), (7, [9.0, 9.0, 9.0, 9.0]), (None, [1.0] * 4), (50, [1e12, -3e11, 2e10, 1.0]), (51, [1e200, 0.0, 0.0, 0.0]), (52, [-1e200, 0.0, 0.0, 0.0]), (100, [3e9, 1.0, -2e9, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = lambda e: [math.floor(1024 * x) for x in e]
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    want = []
+    for own, e in [rows[0], rows[2], rows[-1]]:
+        scores = sorted(((-clip(sum(a * b for a, b in zip(q(e), q(x)))), i) for i, x in rows if i is not None and i != own))[:10]
+        want += [(own, k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    got = topk.exact_top_k(df, df.where("vec_id % 100 = 0"), block=8)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_floor_changes_nothing():
+    rng = np.random.default_rng(2)
+    v = (rng.normal(size=(2000, 12)) * 100).round()
+    block, query = topk.Block(np.arange(2000), v), v[3]
+    ids, score = block.top(query, 3, 5)
+    for floor in (None, int(score[-1]), int(score[2])):
+        got = block.top(query, 3, 5, floor)
+        keep = len(score) if floor is None else int((score >= floor).sum())
+        assert got[0][:keep].tolist() == ids[:keep].tolist()
+    assert len(block.top(query, 3, 5, 10**12)[0]) == 0
+
+
 def test_score_at_a_time_stops_on_proof():
     rng = np.random.default_rng(1)
     v = (rng.normal(size=(3000, 12)) * 100).astype(np.int64)
