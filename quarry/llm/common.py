@@ -64,9 +64,7 @@ class Scratch:
         """Removes tables that nothing reads any more."""
         for df in tables:
             if at := getattr(df, "scratch_path", None):
-                jvm = self.spark.sparkContext._jvm
-                to = jvm.org.apache.hadoop.fs.Path(at)
-                to.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+                remove(self.spark, at)
         self.tables = [t for t in self.tables if not any(t is df for df in tables)]
 
     def keep_only(self, *tables: DataFrame) -> None:
@@ -74,6 +72,12 @@ class Scratch:
         self.drop(*[t for t in self.tables if not any(t is df for df in tables)])
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
     """Cuts a batch so that a slice holds about ``most`` bytes of the column (one row at least)."""
     if not batch.num_rows:

@@ -7,11 +7,13 @@ fifth as many entries as there are windows.
 
 * Documents are packed, about 1 MB of text each, into units that are written
   once; later steps read only those.
-* Each batch becomes one sorted immutable run: per bucket of the fingerprint
-  space, sorted fingerprints with the units they occur in.  The batch is
-  merge-joined with the runs before it; what occurs in more than one document
-  goes back to its units as hits.  Runs beyond ``FAN_IN`` are compacted.
-* Hits are verified: windows under a hit exchange a 96-bit digest of their
+* Each batch becomes one sorted immutable run: a bucketed table with, per bucket
+  of the fingerprint space, sorted fingerprints and units they occur in.  Only
+  the batch's own entries are shuffled; its run is merge-joined with the runs
+  before it bucket by bucket, where they lie.  What occurs in more than one
+  document goes back to its units as hits.  Two runs of one level are compacted
+  into one of the next level, which later batches read.
+* Hits are verified: windows under a hit exchange a 128-bit digest of their
   whole word sequence with the smallest document that has it.  A window is a
   repeat if its sequence starts in a document with a smaller doc_id.
 
@@ -19,21 +21,26 @@ Rows without a doc_id are no documents and are left out.  Null texts have no
 words.  Repeated rows of one doc_id never cover each other
 (no smaller doc_id) and each get a row.  Texts of any length are processed
 whole; an empty table gives an empty result.  Other columns are ignored.
-A frequent fingerprint has one entry per unit, not per document.
+A frequent fingerprint has one entry per unit, not per document; units beyond
+``UNITS_AT_ONCE`` are merged in groups first, and a run keeps one unit of it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts_for, slices, texts
+from .common import Scratch, parts_for, remove, slices, texts
 
-WINDOW, GRAM, BATCHES, FAN_IN, UNIT_BYTES = 13, 5, 3, 2, 1_000_000
+WINDOW, GRAM, BATCHES, UNIT_BYTES, UNITS_AT_ONCE = 13, 5, 3, 1_000_000, 1 << 16
+UNITS = "unit long, ids binary, sizes binary, body binary, bytes long"
 _B1, _B2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -127,8 +134,8 @@ class Unit:
         return _mix(low[self.start]) & ~np.uint64(1)
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits of the word sequence of each window."""
-        return _mix(_poly(self.h1, WINDOW, _B1)[self.start]), _mix(_poly(self.h2, WINDOW, _B2)[self.start]).astype(np.uint32)
+        """128 bits of the word sequence of each window."""
+        return _mix(_poly(self.h1, WINDOW, _B1)[self.start]), _mix(_poly(self.h2, WINDOW, _B2)[self.start])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -162,7 +169,7 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 
 def pack(docs: DataFrame) -> DataFrame:
-    """(unit, ids, body): documents in units of about 1 MB of text, compressed."""
+    """(unit, ids, sizes, body, bytes): documents in units of about 1 MB of text, compressed."""
 
     def run(batches):
         part, n, squeeze = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(1)
@@ -170,10 +177,10 @@ def pack(docs: DataFrame) -> DataFrame:
             for cut in slices(batch, "text", UNIT_BYTES):
                 body, ids = texts(cut), cut.column("doc_id").to_numpy(zero_copy_only=False)
                 sizes = np.array([len(x) + 1 for x in body], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([squeeze.compress(b"".join(x + b" " for x in body))], pa.binary())], ["unit", "ids", "sizes", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()), pa.array([squeeze.compress(b"".join(x + b" " for x in body))], pa.binary()), pa.array([int(sizes.sum())], pa.int64())], ["unit", "ids", "sizes", "body", "bytes"])
                 n += 1
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, "unit long, ids binary, sizes binary, body binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null").mapInArrow(run, UNITS)
 
 
 def _batch_entries(units: DataFrame, n: int) -> DataFrame:
@@ -196,72 +203,138 @@ def _batch_entries(units: DataFrame, n: int) -> DataFrame:
     return units.select("unit", "ids", "sizes", "body").mapInArrow(run, "bucket int, unit long, keys binary")
 
 
-class FingerprintIndex:
-    """Sorted immutable runs (bucket, keys, owners, units) in the shared folder."""
-
-    SCHEMA = "hit boolean, bucket int, unit long, keys binary, owners binary, units binary"
-
-    def __init__(self, scratch: Scratch, buckets: int, fan_in: int = FAN_IN):
-        self.scratch, self.buckets, self.fan_in, self.runs = scratch, buckets, fan_in, []
-
-    @staticmethod
-    def _read(rows: list[dict]):
-        keys, owners = [], []
-        for r in rows:
-            k = _sorted_from(r["keys"])
-            keys.append(k)
-            owners.append(np.full(len(k), r["unit"]) if r["owners"] is None else np.frombuffer(r["units"], np.int64)[_unplanes(r["owners"], np.uint32)])
-        keys, owners = np.concatenate(keys), np.concatenate(owners)
-        order = np.argsort(keys, kind="stable")
-        return keys[order], owners[order], order
-
-    @staticmethod
-    def _run_row(bucket: int, keys: np.ndarray, owners: np.ndarray) -> dict:
+RUN = "hit boolean, bucket int, unit long, keys binary, owners binary, units binary"
+_SHAPE = pa.schema([("hit", pa.bool_()), ("bucket", pa.int32()), ("unit", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("units", pa.binary())])
+
+
+def _read(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and owners of entries and run rows, sorted by key."""
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for r in rows:
+        k = _sorted_from(r["keys"])
+        keys.append(k)
+        owners.append(np.full(len(k), r["unit"], np.int64) if r["owners"] is None else np.frombuffer(r["units"], np.int64)[_unplanes(r["owners"], np.uint32)])
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], owners[order]
+
+
+def _rows(bucket: int, keys: np.ndarray, owners: np.ndarray, hit_keys: np.ndarray, hit_owners: np.ndarray) -> pa.Table:
+    """A run row (none if there is no key) and one row of hits for each unit."""
+    out = []
+    if len(keys):
         units, at = np.unique(owners, return_inverse=True)
-        return {"hit": False, "bucket": bucket, "unit": None, "keys": _sorted_bytes(keys), "owners": _planes(at.astype(np.uint32)), "units": units.tobytes()}
-
-    def add(self, entries: DataFrame) -> DataFrame:
-        """Merge-joins a batch with every run, appends it as a run; returns hits (unit, keys)."""
-        shape, run_row, read = pa.schema([("hit", pa.bool_()), ("bucket", pa.int32()), ("unit", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("units", pa.binary())]), self._run_row, self._read
-
-        def merge(t: pa.Table) -> pa.Table:
-            rows = t.to_pylist()
-            new = np.concatenate([np.full(len(r["keys"]) // 8, r["owners"] is None) for r in rows])
-            keys, owners, order = read(rows)
-            new, fp = new[order], keys & ~np.uint64(1)
-            group = _groups(fp)
-            shared = (np.bincount(group) > 1) | (np.bincount(group, keys & np.uint64(1)) > 0)
-            hit = (shared & (np.bincount(group, new) > 0))[group]
-            out = [run_row(rows[0]["bucket"], keys[new], owners[new])]
-            order = np.argsort(owners[hit], kind="stable")
-            unit, found = owners[hit][order], fp[hit][order]
-            cut = np.r_[0, np.flatnonzero(np.diff(unit)) + 1, len(unit)] if len(unit) else [0]
-            out += [{"hit": True, "bucket": rows[0]["bucket"], "unit": int(unit[a]), "keys": _sorted_bytes(found[a:b]), "owners": None, "units": None} for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            return pa.Table.from_pylist(out, shape)
-
-        rows = entries.selectExpr("bucket", "unit", "keys", "cast(null as binary) owners", "cast(null as binary) units")
-        for run in self.runs:
-            rows = rows.unionByName(run)
-        both = self.scratch.write(rows.groupBy("bucket").applyInArrow(merge, self.SCHEMA))
-        self.runs.append(both.where("not hit").drop("hit"))
-        if len(self.runs) > self.fan_in:
-            self.compact()
-        return both.where("hit").select("unit", "keys")
-
-    def compact(self) -> None:
-        """Merges all runs into one."""
-        shape, run_row, read = pa.schema([("bucket", pa.int32()), ("unit", pa.int64()), ("keys", pa.binary()), ("owners", pa.binary()), ("units", pa.binary())]), self._run_row, self._read
-
-        def merge(t: pa.Table) -> pa.Table:
-            rows = t.to_pylist()
-            keys, owners, _ = read(rows)
-            row = run_row(rows[0]["bucket"], keys, owners)
-            return pa.Table.from_pylist([{k: row[k] for k in shape.names}], shape)
-
-        rows = self.runs[0]
-        for run in self.runs[1:]:
-            rows = rows.unionByName(run)
-        self.runs = [self.scratch.write(rows.groupBy("bucket").applyInArrow(merge, "bucket int, unit long, keys binary, owners binary, units binary"))]
+        out.append({"hit": False, "bucket": bucket, "unit": None, "keys": _sorted_bytes(keys), "owners": _planes(at.astype(np.uint32)), "units": units.tobytes()})
+    order = np.argsort(hit_owners, kind="stable")
+    unit, found = hit_owners[order], hit_keys[order] & ~np.uint64(1)
+    cut = np.r_[0, np.flatnonzero(np.diff(unit)) + 1, len(unit)] if len(unit) else [0]
+    out += [{"hit": True, "bucket": bucket, "unit": int(unit[a]), "keys": _sorted_bytes(np.unique(found[a:b])), "owners": None, "units": None} for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.Table.from_pylist(out, _SHAPE)
+
+
+def _merge(thin: bool):
+    """Merges entries or run rows of a bucket; what occurs in more than one document goes to its units as hits.
+
+    The lowest bit of a key says that its fingerprint is shared. A thin run keeps one unit of a shared fingerprint:
+    all others have their hits already, and whoever meets it later learns of it by the bit.
+    """
+    def run(t: pa.Table) -> pa.Table:
+        keys, owners = _read(t.to_pylist())
+        if not len(keys):
+            return _SHAPE.empty_table()
+        fp, several = keys & ~np.uint64(1), (keys & np.uint64(1)).astype(bool)
+        group = _groups(fp)
+        shared = ((np.bincount(group) > 1) | (np.bincount(group, several) > 0))[group]
+        first = np.r_[True, group[1:] != group[:-1]]
+        keep = first if thin else np.ones(len(keys), bool)
+        return _rows(t.column("bucket")[0].as_py(), fp[keep] | shared[keep].astype(np.uint64), owners[keep], keys[shared], owners[shared])
+
+    return run
+
+
+def _meet(thin: bool):
+    """Merge-joins the same bucket of two runs: fingerprints in both are hits of their units."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (a, a_owners), (b, b_owners) = _read(left.to_pylist()), _read(right.to_pylist())
+        if not len(a) or not len(b):
+            return _SHAPE.empty_table()
+        fa, fb = a & ~np.uint64(1), b & ~np.uint64(1)
+        in_a, in_b = fb[np.minimum(np.searchsorted(fb, fa), len(fb) - 1)] == fa, fa[np.minimum(np.searchsorted(fa, fb), len(fa) - 1)] == fb
+        if thin:  # the others were told when their fingerprint became shared
+            in_a, in_b = in_a & (a & np.uint64(1) == 0), in_b & (b & np.uint64(1) == 0)
+        return _rows(left.column("bucket")[0].as_py(), a[:0], a_owners[:0], np.r_[a[in_a], b[in_b]], np.r_[a_owners[in_a], b_owners[in_b]])
+
+    return run
+
+
+class Run:
+    """An immutable sorted run: a table bucketed and sorted by bucket, so that runs meet bucket by bucket without a shuffle."""
+
+    def __init__(self, spark, path: str, buckets: int, level: int = 0, rows: DataFrame | None = None):
+        self.spark, self.path, self.level, self.name = spark, path, level, f"run_{uuid.uuid4().hex}"
+        if rows is not None:
+            rows.write.bucketBy(buckets, "bucket").sortBy("bucket").option("path", path).saveAsTable(self.name)
+        else:
+            spark.sql(f"CREATE TABLE {self.name} ({RUN}) USING parquet CLUSTERED BY (bucket) SORTED BY (bucket) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self.table = spark.table(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.table.where("not hit")
+
+    def hits(self) -> DataFrame:
+        return self.table.where("hit").select("unit", "keys")
+
+    def forget(self) -> None:
+        """The name goes; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+class FingerprintIndex:
+    """Runs of growing levels: two of one level are compacted into one of the next, which later batches read.
+
+    A batch shuffles its own entries once. History is read in place: bucketed runs are merge-joined without a shuffle.
+    ``units`` bounds the units of a batch: beyond UNITS_AT_ONCE, units are dealt into several groups of a bucket,
+    merged first among themselves, so that a fingerprint of all units is no large group anywhere.
+    """
+
+    def __init__(self, spark, folder: str, buckets: int, thin: bool = True, runs: list[Run] | None = None):
+        self.spark, self.folder, self.buckets, self.thin, self.runs = spark, folder, buckets, thin, runs or []
+
+    def add(self, entries: DataFrame, units: int, name: str) -> list[DataFrame]:
+        """Makes the batch a run, merge-joins it with every run before and compacts; returns hits (unit, keys)."""
+        salts, path = -(-units // UNITS_AT_ONCE), f"{self.folder}/{name}"
+        rows, hits = entries.selectExpr("bucket", "unit", "keys", "cast(null as binary) owners", "cast(null as binary) units"), []
+        if salts > 1:
+            dealt = self._keep(rows.groupBy("bucket", F.pmod(F.xxhash64("unit"), F.lit(salts))).applyInArrow(_merge(self.thin), RUN), f"{path}-parts")
+            hits.append(dealt.where("hit").select("unit", "keys"))
+            rows = dealt.where("not hit").drop("hit")
+        new = Run(self.spark, path, self.buckets, 0, rows.groupBy("bucket").applyInArrow(_merge(self.thin), RUN))
+        hits.append(new.hits())
+        for old in self.runs:
+            met = new.rows().groupBy("bucket").cogroup(old.rows().groupBy("bucket")).applyInArrow(_meet(self.thin), RUN)
+            hits.append(self._keep(met, f"{path}-with-{len(hits)}").select("unit", "keys"))
+        self.runs.append(new)
+        while len(self.runs) > 1 and self.runs[-1].level == self.runs[-2].level:
+            self.compact(f"{name}-level{self.runs[-1].level + 1}")
+        return hits
+
+    def _keep(self, rows: DataFrame, path: str) -> DataFrame:
+        rows.write.parquet(path)
+        return self.spark.read.schema(RUN).parquet(path)
+
+    def compact(self, name: str) -> None:
+        """Merges the last two runs into one, bucket by bucket, where they lie."""
+        a, b = self.runs[-2:]
+        merge = _merge(self.thin)
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            both = merge(pa.concat_tables([left.cast(_SHAPE), right.cast(_SHAPE)]))
+            return both.filter(pc.invert(both.column("hit")))  # hits were told when the runs met
+
+        whole = a.rows().groupBy("bucket").cogroup(b.rows().groupBy("bucket")).applyInArrow(run, RUN)
+        self.runs[-2:] = [Run(self.spark, f"{self.folder}/{name}", self.buckets, a.level + 1, whole)]
+        a.forget()
+        b.forget()
 
 
 def _claims(units: DataFrame, hits: DataFrame, n: int) -> DataFrame:
@@ -300,7 +373,7 @@ def _repeats(claims: DataFrame) -> DataFrame:
         rows = t.to_pylist()
         w1 = [_sorted_from(r["w1"]) for r in rows]
         unit = np.repeat(np.arange(len(rows)), [len(x) for x in w1])
-        w1, w2 = np.concatenate(w1), np.concatenate([_unplanes(r["w2"], np.uint32) for r in rows])
+        w1, w2 = np.concatenate(w1), np.concatenate([_unplanes(r["w2"], np.uint64) for r in rows])
         doc = np.concatenate([np.frombuffer(r["docs"], np.int64)[_unplanes(r["at"], np.uint32)] for r in rows])
         order = np.lexsort((w2, w1))
         group = _groups(w1[order], w2[order])
@@ -327,7 +400,7 @@ def _removed(u: Unit, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
         least = u.doc[some][np.flatnonzero(np.r_[True, np.diff(group) > 0])]
         repeat[some] = u.doc[some] > least[group]
     if len(w1):
-        pair = np.dtype([("a", np.uint64), ("b", np.uint32)])
+        pair = np.dtype([("a", np.uint64), ("b", np.uint64)])
         at = np.searchsorted(w1, d1)
         same = np.flatnonzero(w1[np.minimum(at, len(w1) - 1)] == d1)
         mine, known = np.empty(len(same), pair), np.empty(len(w1), pair)
@@ -349,8 +422,8 @@ def _kept(units: DataFrame, repeats: DataFrame) -> DataFrame:
         row = left.to_pylist()[0]
         u = Unit(row["ids"], row["sizes"], row["body"])
         w1 = [_sorted_from(x) for x in right.column("w1").to_pylist()]
-        w2 = [_unplanes(x, np.uint32) for x in right.column("w2").to_pylist()]
-        w1, w2 = (np.concatenate(w1), np.concatenate(w2)) if w1 else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        w2 = [_unplanes(x, np.uint64) for x in right.column("w2").to_pylist()]
+        w1, w2 = (np.concatenate(w1), np.concatenate(w2)) if w1 else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         order = np.argsort(w1, kind="stable")
         gone = _removed(u, w1[order], w2[order])
         start = np.r_[0, u.end[:-1]]
@@ -365,19 +438,23 @@ def dedup_substrings(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space) of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring")
-    low, high, rows, size = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.sum(F.octet_length("text"))).first()
-    if not rows:
-        return _kept(pack(docs), spark.createDataFrame([], "unit long, w1 binary, w2 binary"))
     units = scratch.write(pack(docs))
-    n = parts_for((size or 0) // 5, 4_000_000)
-    # a batch is a range of units; which one a unit is in has no effect on the result
-    index, hits = FingerprintIndex(scratch, n), None
+    many, size = units.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    if not many:
+        return _kept(units, spark.createDataFrame([], "unit long, w1 binary, w2 binary"))
+    n = parts_for(size // 5, 4_000_000)
+    # a batch is a set of units; which one a unit is in has no effect on the result
+    index, hits = FingerprintIndex(spark, f"{scratch.path}/runs", n), []
     for b in range(batches):
-        found = index.add(_batch_entries(units.where(F.pmod(F.xxhash64("unit"), F.lit(batches)) == b), n))
-        hits = found if hits is None else hits.unionByName(found)
-    hits = scratch.write(hits)
-    scratch.keep_only(units, hits)  # this index was for one call; SubstringStore keeps its own
-    repeats = scratch.write(_repeats(_claims(units, hits, n)))
+        hits += index.add(_batch_entries(units.where(F.pmod(F.xxhash64("unit"), F.lit(batches)) == b), n), many, f"batch{b}")
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.unionByName(more)
+    found = scratch.write(found)
+    for run in index.runs:
+        run.forget()
+    remove(spark, f"{scratch.path}/runs")  # this index was for one call; SubstringStore keeps its own
+    repeats = scratch.write(_repeats(_claims(units, found, n)))
     scratch.keep_only(units, repeats)
     return _kept(units, repeats)
 
@@ -385,44 +462,61 @@ def dedup_substrings(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 class SubstringStore:
     """An index that outlives a job: units, runs and the number of buckets in a folder of the shared store.
 
-    ``add`` takes one more batch, cleans it against everything before it and
-    itself, and appends its units and its run.  Doc ids of later batches should
-    be larger: a window goes if it starts in a document with a smaller doc_id.
-    A batch counts once its entry in ``batches`` is written, which is the last
-    step; a job that was lost before leaves parts that no later batch reads.
+    ``add`` takes one more batch, cleans it against everything before it and itself, and appends its units and its run.
+    A window goes if it starts in a document with a smaller doc_id, so doc_ids of a batch must be larger than those
+    before: others raise ValueError.  A batch counts once its entry in ``batches`` is written, which is the last step; a
+    job that was lost before leaves files that no later batch reads and that its repetition replaces.
     """
 
-    def __init__(self, spark, path: str, buckets: int = 64, fan_in: int = FAN_IN):
-        self.spark, self.path, self.buckets, self.fan_in = spark, path, buckets, fan_in
+    META = "batch int, buckets int, units long, largest long, runs array<string>, levels array<int>"
+
+    def __init__(self, spark, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
 
-    def _batches(self) -> list[tuple[int, int, list[str]]]:
-        """(number, buckets, live runs) of each batch so far: one small row a batch."""
+    def _batches(self) -> list:
+        """One small row a batch: number, buckets, units so far, largest doc_id, live runs and their levels."""
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batches")
         if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             return []
-        return sorted((r["batch"], r["buckets"], r["runs"]) for r in self.spark.read.parquet(f"{self.path}/batches").collect())
+        return sorted(self.spark.read.schema(self.META).parquet(f"{self.path}/batches").collect(), key=lambda r: r["batch"])
+
+    def _units(self, batch: int) -> DataFrame:
+        return self.spark.read.schema(UNITS).parquet(f"{self.path}/units/{batch}")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """As dedup_substrings, for the documents of this batch."""
         before = self._batches()
-        k, n = (before[-1][0] + 1, before[-1][1]) if before else (0, self.buckets)
+        last = before[-1] if before else None
+        k, n, first, largest = (last["batch"] + 1, last["buckets"], last["units"], last["largest"]) if last else (0, self.buckets, 0, None)
+        low, high = docs.agg(F.min(F.col("doc_id").cast("long")), F.max(F.col("doc_id").cast("long"))).first()
+        if low is not None and largest is not None and low <= largest:
+            raise ValueError(f"doc_id {low} is not larger than {largest} of an earlier batch")
         scratch = Scratch(self.spark, "substring")
-        units = pack(docs).withColumn("unit", F.col("unit") + F.lit(k << 48))
-        units.write.mode("overwrite").parquet(f"{self.path}/units/{k}")
-        units = self.spark.read.schema(units.schema).parquet(f"{self.path}/units/{k}")
-        index = FingerprintIndex(scratch, n, fan_in=10**6)  # runs are written to the store below
-        index.runs = [self.spark.read.parquet(f"{self.path}/runs/{r}") for r in (before[-1][2] if before else [])]
-        hits = index.add(_batch_entries(units, n))
-        met = units
-        for b, _, _ in before:  # of earlier units only those that a hit names are read again
-            met = met.unionByName(self.spark.read.schema(units.schema).parquet(f"{self.path}/units/{b}").join(hits.select("unit").distinct(), "unit", "left_semi").select(*units.columns))
-        repeats = scratch.write(_repeats(_claims(met, hits, n)))
-        live = [*(before[-1][2] if before else []), str(k)]
-        if len(live) > self.fan_in:
-            index.compact()
-            live = [f"{k}-whole"]
-        index.runs[-1].write.mode("overwrite").parquet(f"{self.path}/runs/{live[-1]}")
+        raw = scratch.write(pack(docs))
+        # units are numbered on from the last batch: within a task's units, and tasks by their counts
+        part, at = F.shiftrightunsigned("unit", 32), F.col("unit").bitwiseAND(F.lit((1 << 32) - 1))
+        counts = raw.groupBy(part.alias("part")).agg(F.count("*").alias("n_part"))  # one row for each task
+        offsets = counts.select("part", (F.sum("n_part").over(Window.orderBy("part")) - F.col("n_part")).alias("offset"))
+        numbered = raw.join(F.broadcast(offsets), part == F.col("part")).withColumn("unit", F.col("offset") + at + F.lit(first)).select(*raw.columns)
+        numbered.write.mode("overwrite").parquet(f"{self.path}/units/{k}")
+        scratch.drop(raw)
+        units = self._units(k)
+        many = units.count()
+        attempt = f"{self.path}/runs/{k}-{uuid.uuid4().hex}"
+        runs = [Run(self.spark, path, n, level) for path, level in zip(last["runs"], last["levels"], strict=True)] if last else []
+        index = FingerprintIndex(self.spark, attempt, n, False, runs)
+        found = None
+        for hits in index.add(_batch_entries(units, n), many, "run") if many else []:
+            found = hits if found is None else found.unionByName(hits)
+        found = scratch.write(found if found is not None else self.spark.createDataFrame([], "unit long, keys binary"))
+        met, named = units, found.select("unit").distinct()
+        for b in before:  # of earlier units only those that a hit names are read again
+            met = met.unionByName(self._units(b["batch"]).join(named, "unit", "left_semi").select(*units.columns))
+        repeats = scratch.write(_repeats(_claims(met, found, n)))
         scratch.keep_only(repeats)
-        self.spark.createDataFrame([(k, n, live)], "batch int, buckets int, runs array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+        live, levels = [r.path for r in index.runs], [r.level for r in index.runs]
+        for run in index.runs:
+            run.forget()
+        self.spark.createDataFrame([(k, n, first + many, high if high is not None else largest, live, levels)], self.META).coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
         return _kept(units, repeats)

@@ -167,8 +167,10 @@ def test_substrings(spark):
     assert [r.n_words for r in substring_dedup.dedup_substrings(docs(spark, [(1, None)])).collect()] == [0]
 
 
-def test_substring_units_and_batches(spark, monkeypatch):
+@pytest.mark.parametrize("at_once", [substring_dedup.UNITS_AT_ONCE, 4])
+def test_substring_units_and_batches(spark, monkeypatch, at_once):
     monkeypatch.setattr(substring_dedup, "UNIT_BYTES", 300)
+    monkeypatch.setattr(substring_dedup, "UNITS_AT_ONCE", at_once)
     rows = [(i, f"{prose(i % 7, 30, 50)} {prose(i, 20)}") for i in range(60)]
     got = sorted(tuple(r) for r in substring_dedup.dedup_substrings(docs(spark, rows, 3), batches=5).collect())
     assert got == brute_substrings(rows)
@@ -655,4 +657,14 @@ def test_substring_store_takes_batch_after_batch(spark, tmp_path):
         part = [r for r in rows if a <= r[0] < a + 17]
         got += [tuple(r) for r in store.add(docs(spark, part, 2)).collect()]
     assert sorted(got) == brute_substrings(rows)
-    assert len(store._batches()) == 5 and len(store._batches()[-1][2]) <= 2
+    assert len(store._batches()) == 5 and store._batches()[-1]["levels"] == [2, 0]
+    with pytest.raises(ValueError):
+        store.add(docs(spark, [(3, "late")]))
+    assert store.add(docs(spark, [])).count() == 0
+
+
+def test_runs_meet_without_a_shuffle(spark, tmp_path):
+    units = substring_dedup.pack(docs(spark, [(i, prose(i % 5, 60)) for i in range(20)]))
+    runs = [substring_dedup.Run(spark, str(tmp_path / str(k)), 8, 0, substring_dedup._batch_entries(units, 8).selectExpr("bucket", "unit", "keys", "cast(null as binary) owners", "cast(null as binary) units").groupBy("bucket").applyInArrow(substring_dedup._merge(True), substring_dedup.RUN)) for k in range(2)]
+    met = runs[0].rows().groupBy("bucket").cogroup(runs[1].rows().groupBy("bucket")).applyInArrow(substring_dedup._meet(False), substring_dedup.RUN)
+    assert met.count() > 0 and "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
