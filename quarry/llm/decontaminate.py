@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-WIDTH, SIMILARITY, RADIUS, BROADCAST_ROWS = 5, 0.8, 19, 500_000
+WIDTH, SIMILARITY, RADIUS, BROADCAST_ROWS, SLOTS = 5, 0.8, 19, 500_000, 1 << 18
 #: Bounds are compared with room for rounding.
 SLACK = 1e-6
 #: (first bit, bits): RADIUS // 5 = 3 bits at most differ in one of them.
@@ -157,29 +157,42 @@ def _starts(docs: DataFrame, items: DataFrame, least: float, scratch: Scratch) -
     return scratch.write(spans.select(*KEY, "n", "need", "shared", F.explode(F.sequence("at", "last")).alias("start")).withColumn("start", F.col("start").cast("int")))
 
 
+def slots_of(found: DataFrame) -> DataFrame:
+    """The slots of some rows' keys: at most SLOTS rows, whatever the input, so they may be broadcast."""
+    return F.broadcast(found.select(slot(F.col("k1")).alias("slot")).distinct())
+
+
+def slot(k1: Column) -> Column:
+    return F.pmod(k1, F.lit(SLOTS)).cast("int")
+
+
 def flagged(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """KEY, item_id, similarity, start of every window of a document that holds an item."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = _benchmark_items(benchmark, scratch)
     starts = _starts(docs, items, least, scratch)
-    source = docs.select(*keys(F.col("doc_id"), F.col("text")), "text")
-    some = starts.groupBy(*KEY).agg(F.collect_list(F.struct("n", "need", "start", "shared")).alias("starts"))
-    found = source.join(scratch.write(some).withColumnsRenamed({k: f"_{k}" for k in KEY}), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    some = scratch.write(starts.groupBy(*KEY).agg(F.collect_list(F.struct("n", "need", "start", "shared")).alias("starts")))
+    # texts are read again; those in no slot of a suspect stay where they are, the others meet their starts
+    source = docs.select(*keys(F.col("doc_id"), F.col("text")), "text").join(slots_of(some), slot(F.col("k1")) == F.col("slot"), "left_semi")
+    mine = some.withColumnsRenamed({k: f"_{k}" for k in KEY}).hint("merge")
+    found = source.join(mine, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     found = found.select(*KEY, words(F.col("text")).alias("w"), "starts").select(*KEY, "w", F.explode("starts").alias("x"))
-    windows = scratch.write(found.select(*KEY, "x.n", "x.need", "x.start", "x.shared", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("window")).distinct())
+    found = found.select(*KEY, "x.n", "x.need", "x.start", "x.shared", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("window"))
+    same = [F.xxhash64("window").alias("w1"), F.xxhash64(F.lit("more"), "window").alias("w2")]  # windows are known by 128 bits
+    windows = scratch.write(found.select("*", *same))
     within = F.col("shared") * (1 + least) >= least * (total(characters(F.col("window"))) + F.col("need")) - SLACK
-    texts = scratch.write(windows.select("n", "need", "shared", "window").distinct().where(within).select("n", "window").distinct().withColumn("id", F.monotonically_increasing_id()))
-    texts = scratch.write(texts.join(fingerprints(texts, "id", "window"), "id"))
+    texts = scratch.write(windows.where(within).groupBy("n", "w1", "w2").agg(F.any_value("window").alias("window")).withColumn("id", F.monotonically_increasing_id()))
+    texts = scratch.write(texts.join(fingerprints(texts, "id", "window").hint("merge"), "id"))
     of_item = F.array(*[F.struct(F.lit(b).alias("block"), _near(_block(F.col("item_fp"), *x), x[1]).alias("near")) for b, x in enumerate(BLOCKS)])
     ball = items.select("n", "item_fp").distinct().select("n", "item_fp", F.explode(of_item).alias("x")).select("n", "item_fp", "x.block", F.explode("x.near").alias("value"))
     of_window = F.array(*[F.struct(F.lit(b).alias("block"), _block(F.col("fp"), *x).alias("value")) for b, x in enumerate(BLOCKS)])
     probes = texts.select("n", "fp").distinct().select("n", "fp", F.explode(of_window).alias("x")).select("n", "fp", "x.block", "x.value")
     # only sizes and fingerprints travel; the same pair can meet in several blocks. A ball is large: never broadcast it
     near = probes.join(ball.hint("merge"), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("n", "fp", "item_fp").distinct()
-    met = texts.withColumn("m", multiset(F.col("window"))).join(scratch.write(near), ["n", "fp"]).join(items.select("n", "item_fp", "item_ids", multiset(F.col("w")).alias("item")), ["n", "item_fp"])
-    sure = scratch.write(met.withColumn("similarity", similarity(F.col("m"), F.col("item"))).where(F.col("similarity") >= least).select("n", "window", F.explode("item_ids").alias("item_id"), "similarity"))
+    met = texts.withColumn("m", multiset(F.col("window"))).join(scratch.write(near).hint("merge"), ["n", "fp"]).join(items.select("n", "item_fp", "item_ids", multiset(F.col("w")).alias("item")), ["n", "item_fp"])
+    sure = scratch.write(met.withColumn("similarity", similarity(F.col("m"), F.col("item"))).where(F.col("similarity") >= least).select("n", "w1", "w2", F.explode("item_ids").alias("item_id"), "similarity"))
     scratch.keep_only(windows, sure)
-    return windows.join(sure, ["n", "window"]).select(*KEY, "item_id", "similarity", "start", "n")
+    return windows.select(*KEY, "n", "start", "w1", "w2").join(sure.hint("merge"), ["n", "w1", "w2"]).select(*KEY, "item_id", "similarity", "start", "n")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -192,7 +205,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns, whose own text holds no item."""
-    found = Scratch(docs.sparkSession, "flagged").write(flagged(docs, benchmark, least).select(*[F.col(k).alias(f"__{k}") for k in KEY]).distinct())
+    found = Scratch(docs.sparkSession, "flagged").write(flagged(docs, benchmark, least).select(*KEY).distinct())
     own = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[k.alias(f"__own_{n}") for n, k in zip(KEY, keys(F.col("doc_id"), F.col("text")), strict=True)])
-    kept = own.join(found, F.col("__own_doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__own_k1") == F.col("__k1")) & (F.col("__own_k2") == F.col("__k2")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    near, is_near = slots_of(found), slot(F.col("__own_k1")) == F.col("slot")
+    same = F.col("__own_doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("__own_k1") == F.col("__k1")) & (F.col("__own_k2") == F.col("__k2"))
+    # most rows are told clean where they are; those in a slot of a flagged one are compared
+    suspects = own.join(near, is_near, "left_semi").join(found.withColumnsRenamed({k: f"__{k}" for k in KEY}).hint("merge"), same, "left_anti")
+    return own.join(near, is_near, "left_anti").unionByName(suspects).select(*[F.col(f"`{c}`") for c in docs.columns])
