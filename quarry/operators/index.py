@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import scoring as sc
 from quarry.functions import text as tx
 
 FIELDS = ("title", "anchors", "text")
@@ -16,23 +17,27 @@ STORED = ("doc_id", "url", "title", "text", "filetype", "section", "category", "
 @dataclass
 class Index:
     """docs: stored columns, distinct tokens per field, lower-cased whole text.  postings: (term, doc_id,
-    a flag and the length of each field).  df: (term, df).  stats: one row, n and average lengths."""
+    a flag and the length of each field).  df: (term, df).  stats: one row, n and average lengths.  norms: (doc_id,
+    the length of each field's TF-IDF vector)."""
 
     docs: DataFrame
     postings: DataFrame
     df: DataFrame
     stats: DataFrame
+    norms: DataFrame
 
     def save(self, path: str, buckets: int = 64) -> None:
-        """postings and df are sorted by term, so that a term filter skips row groups."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
+        """postings and df are sorted by term, docs by doc_id, so that a filter on them skips row groups."""
+        spark = self.docs.sparkSession
+        self.docs.repartitionByRange(buckets, "doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{path}/docs")
         self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.df.repartitionByRange(max(buckets // 8, 1), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/df")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        norms_of(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "df", "stats")]).write.mode("overwrite").parquet(f"{path}/norms")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Index":
-        return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "df", "stats")])
+        return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("docs", "postings", "df", "stats", "norms")])
 
 
 def tokenised(pages: DataFrame) -> DataFrame:
@@ -68,7 +73,14 @@ def build(pages: DataFrame, materialise=None) -> Index:
     docs = tokenised(pages)
     docs = materialise(docs) if materialise else docs
     postings = exploded_postings(docs)
-    return Index(docs, postings, document_frequency(docs), statistics(docs))
+    df, stats = document_frequency(docs), statistics(docs)
+    return Index(docs, postings, df, stats, norms_of(postings, df, stats))
+
+
+def norms_of(postings: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(doc_id, norm of each field): square roots of the summed squares of smoothed idf."""
+    rows = postings.join(df, "term").crossJoin(F.broadcast(stats.select("n"))).withColumn("w", sc.smoothed_idf(F.col("n"), F.col("df")))
+    return rows.groupBy("doc_id").agg(*[F.sqrt(F.sum(F.when(F.col(f"in_{f}"), F.col("w") * F.col("w")).otherwise(0.0))).alias(f"norm_{f}") for f in FIELDS])
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:

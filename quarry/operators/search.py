@@ -1,13 +1,16 @@
 """Search: a parsed query and an index become one DataFrame of matches.
 
-The query's own terms are constants of the plan, so matching and scoring by
-them need no join: they are tests on the documents' token arrays.  Only
-wildcards, whose expansion has no bound, go through the vocabulary and the
-postings as joins.
+Where a query asks for terms, its candidates come from the postings: ``term IN``
+the query's own terms, which skips row groups of the sorted files, becomes one row
+of flags for each document that has any; only these documents are looked up, and
+only their short columns.  Texts are read for one page of results.  Phrases and
+regular expressions without a term, which may start and end within words, and
+queries of filters only are tests on the documents themselves.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,7 @@ from quarry.functions import urls as ux
 from quarry.operators.index import FIELDS, Index
 from quarry.plans.query_language import Mode, Plan, Query, parse_query, site_prefixes, wildcard_regex
 from quarry.plans.schema import FIELDS as SPEC
+from quarry.plans.tables import written
 
 BOOSTS = {f.name: f.boost for f in SPEC if f.scorable}
 # Facet sizes, matched terms shown, phrase scores.
@@ -51,13 +55,49 @@ def structured(plan: Plan) -> Column:
     return out
 
 
-def _has_any(terms) -> Column:
-    """Any field holds any of the terms."""
-    out = F.lit(False)
-    for t in terms:
-        for f in FIELDS:
-            out = out | F.array_contains(f"{f}_terms", t)
-    return out
+class Scan:
+    """Tests of a document's terms on its token arrays."""
+
+    def has(self, t: str, f: str) -> Column:
+        return F.array_contains(f"{f}_terms", t)
+
+    def size(self, f: str) -> Column:
+        return F.size(f"{f}_terms")
+
+    def any(self, terms) -> Column:
+        """Any field holds any of the terms."""
+        out = F.lit(False)
+        for t in terms:
+            for f in FIELDS:
+                out = out | self.has(t, f)
+        return out
+
+
+class Located(Scan):
+    """The same on the flags that ``rows`` takes from the postings."""
+
+    def __init__(self, terms):
+        self.number = {t: i for i, t in enumerate(dict.fromkeys(terms))}
+
+    def has(self, t: str, f: str) -> Column:
+        return F.col(f"__{f}_{self.number[t]}") if t in self.number else F.lit(False)
+
+    def size(self, f: str) -> Column:
+        return F.col(f"__len_{f}")
+
+    def rows(self, postings: DataFrame) -> DataFrame:
+        """doc_id, field lengths and a flag for each term and field, of documents with any of the terms."""
+        flags = [F.coalesce(F.bool_or(F.when(F.col("term") == t, F.col(f"in_{f}"))), F.lit(False)).alias(f"__{f}_{i}") for t, i in self.number.items() for f in FIELDS]
+        return postings.where(F.col("term").isin(*self.number)).groupBy("doc_id").agg(*[F.max(f"len_{f}").alias(f"__len_{f}") for f in FIELDS], *flags)
+
+
+def history_weights(history: list[str]) -> dict[str, int]:
+    """How often each token occurs in a user's queries."""
+    weights: dict[str, int] = {}
+    for q in history:
+        for t in tx.tokens_of(q):
+            weights[t] = weights.get(t, 0) + 1
+    return weights
 
 
 def regex_test(pattern: str) -> Column:
@@ -75,15 +115,16 @@ def known_terms(index: Index, plan: Plan) -> dict[str, int]:
     return {r["term"]: r["df"] for r in index.df.where(F.col("term").isin(terms)).collect()} if terms else {}
 
 
-def candidate_test(plan: Plan, df: dict[str, int]) -> Column:
-    """Documents with any term; if no document has one, or there are no terms, all."""
-    terms = [t for t in (*plan.terms, *plan.title_terms) if df.get(t)]
-    return _has_any(terms) if terms else F.lit(True)
+def candidate_terms(plan: Plan, df: dict[str, int]) -> list[str]:
+    """Documents with any of them are candidates; if there is none, all are."""
+    return [t for t in (*plan.terms, *plan.title_terms) if df.get(t)]
 
 
 def candidate_total(index: Index, plan: Plan) -> DataFrame:
     """One row: total_candidates."""
-    return index.docs.where(candidate_test(plan, known_terms(index, plan))).agg(F.count("*").alias("total_candidates"))
+    terms = candidate_terms(plan, known_terms(index, plan))
+    rows = index.postings.where(F.col("term").isin(*terms)).select("doc_id").distinct() if terms else index.docs
+    return rows.agg(F.count("*").alias("total_candidates"))
 
 
 def expanded_terms(index: Index, plan: Plan) -> DataFrame:
@@ -92,25 +133,21 @@ def expanded_terms(index: Index, plan: Plan) -> DataFrame:
     return index.df.where(F.col("term").rlike(f"(?i){pattern}")) if plan.wildcards else index.df.limit(0)
 
 
-def bm25(plan: Plan, df: dict[str, int], stats) -> Column:
-    """Over the query's own terms; ``stats`` is the row of index.stats."""
+def term_score(plan: Plan, df: dict[str, int], stats, tests: Scan, model) -> Column:
+    """Over the query's own terms; ``stats`` is the row of index.stats, ``model`` scores one term of one field."""
     out = F.lit(0.0)
     for t in plan.positive:
         if df.get(t):
             for f in FIELDS:
-                out = out + F.when(F.array_contains(f"{f}_terms", t), sc.bm25f(F.lit(stats["n"]), F.lit(df[t]), F.size(f"{f}_terms"), F.lit(stats[f"avg_{f}"]), BOOSTS[f])).otherwise(0.0)
+                out = out + F.when(tests.has(t, f), model(F.lit(stats["n"]), F.lit(df[t]), tests.size(f), F.lit(stats[f"avg_{f}"]), BOOSTS[f])).otherwise(0.0)
     return out
 
 
-def interest(history: list[str]) -> Column:
+def interest(weights: dict[str, int], tests: Scan) -> Column:
     """The weighted share of a user's query tokens that the document has."""
-    weights: dict[str, int] = {}
-    for q in history:
-        for t in tx.tokens_of(q):
-            weights[t] = weights.get(t, 0) + 1
     hit = F.lit(0.0)
     for t, w in weights.items():
-        hit = hit + F.when(F.array_contains("title_terms", t) | F.array_contains("text_terms", t), float(w)).otherwise(0.0)
+        hit = hit + F.when(tests.has(t, "title") | tests.has(t, "text"), float(w)).otherwise(0.0)
     return F.least(hit / max(sum(weights.values()), 1), F.lit(1.0))
 
 
@@ -121,81 +158,105 @@ def phrase_score(plan: Plan) -> Column:
     return out
 
 
-def title_share(plan: Plan) -> Column:
+def title_share(plan: Plan, tests: Scan) -> Column:
     terms = plan.title_terms or plan.terms
     hit = F.lit(0)
     for t in terms:
-        hit = hit + F.array_contains("title_terms", t).cast("int")
+        hit = hit + tests.has(t, "title").cast("int")
     return hit / len(terms) if terms else F.lit(0.0)
 
 
-def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list[str] | None = None, ranks: DataFrame | None = None, weights: dict[str, float] = sc.WEIGHTS) -> DataFrame:
-    """All matching documents: the index's columns, the features (f_*), score and matched terms.
+#: What of a document is looked up for ranking.
+SHORT = ("doc_id", "url", "filetype", "section", "category", "fetched_at")
+
+
+def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list[str] | None = None, ranks: DataFrame | None = None, weights: dict[str, float] = sc.WEIGHTS, model=sc.bm25f, extra=None) -> DataFrame:
+    """All matching documents: their short columns, the features (f_*), score and matched terms.
 
     ranks: (id, rank) from PageRank; without it every document has 1/n, as a graph without edges gives.
+    model: scores one term of one field, (n, df, length, average, boost) -> Column.
+    extra: more columns by name from the term tests.
     """
-    positive = list(plan.positive)
+    positive, told = list(plan.positive), history_weights(history or [])
     known, stats = known_terms(index, plan), index.stats.first()  # a few rows: they become constants of the plan
-    ok = candidate_test(plan, known) & structured(plan)
-    if plan.excluded:
-        ok = ok & ~_has_any(plan.excluded)
+    terms = candidate_terms(plan, known)
+    by_terms = bool(terms) or bool(positive and not plan.phrases and not plan.regexes and not plan.wildcards)
+    tests = Located([*positive, *plan.excluded, *told]) if by_terms else Scan()
+    ok = (tests.any(terms) if terms else F.lit(True)) & (~tests.any(plan.excluded) if plan.excluded else F.lit(True))
     for t in plan.title_terms:
-        ok = ok & F.array_contains("title_terms", t)
+        ok = ok & tests.has(t, "title")
+    own = tests.any(positive)
+    if not plan.phrases and not plan.regexes and positive and not plan.wildcards:
+        ok = ok & own
+    whole = [c for c in ("title", "combined") if plan.phrases or plan.regexes]
+    wanted = structured(plan)
     for p in plan.phrases:
-        ok = ok & F.contains("combined", F.lit(p.lower()))
+        wanted = wanted & F.contains("combined", F.lit(p.lower()))
     for p in plan.regexes:
-        ok = ok & regex_test(p)
-    rows = index.docs.where(ok)
-    own = _has_any(positive)
+        wanted = wanted & regex_test(p)
+    if by_terms:
+        rows = index.docs.where(wanted).select(*SHORT, *whole).join(tests.rows(index.postings).where(ok), "doc_id")
+    else:
+        rows = index.docs.where(wanted & ok).select(*SHORT, *whole, *[f"{f}_terms" for f in FIELDS])
     url_hits = F.lit(0)
     for t in [*positive, *plan.url_terms]:
         url_hits = url_hits + F.contains(F.lower("url"), F.lit(t.lower())).cast("int")
-    terms_found = F.filter(F.array(*map(F.lit, positive)) if positive else F.array().cast("array<string>"), lambda t: F.array_contains("title_terms", t) | F.array_contains("anchors_terms", t) | F.array_contains("text_terms", t))
+    terms_found = F.filter(F.array(*[F.when(tests.any([t]), F.lit(t)) for t in positive]), lambda t: t.isNotNull()) if positive else F.array().cast("array<string>")
     if plan.wildcards:
         more = expanded_terms(index, plan).where(~F.col("term").isin(positive)) if positive else expanded_terms(index, plan)
         n_terms = more.agg(F.count("*").alias("__n_terms"))
         part = F.lit(0.0)
         hit = index.postings.join(more, "term")
         for f in FIELDS:
-            part = part + F.when(F.col(f"in_{f}"), sc.bm25f(F.lit(stats["n"]), F.col("df"), F.col(f"len_{f}"), F.lit(stats[f"avg_{f}"]), BOOSTS[f])).otherwise(0.0)
+            part = part + F.when(F.col(f"in_{f}"), model(F.lit(stats["n"]), F.col("df"), F.col(f"len_{f}"), F.lit(stats[f"avg_{f}"]), BOOSTS[f])).otherwise(0.0)
         per_doc = hit.groupBy("doc_id").agg(F.sum(part).alias("__more"), F.array_sort(F.collect_set("term")).alias("__terms"))
-        rows = rows.join(per_doc, "doc_id", "left").crossJoin(F.broadcast(n_terms))
+        needed = plan.mode is Mode.WILDCARD or not (plan.phrases or plan.regexes)
+        rows = rows.join(per_doc, "doc_id", "left" if positive or not needed else "inner").crossJoin(F.broadcast(n_terms))
         wild, wild_score, wild_terms = F.col("__more").isNotNull(), F.coalesce("__more", F.lit(0.0)), F.coalesce("__terms", F.array().cast("array<string>"))
         n_all = F.col("__n_terms") + len(positive)
-        # an expanded term in the url need not be in the text: every vocabulary term that fits is tried
-        tried = index.docs.select("doc_id", F.lower("url").alias("u"), F.explode(F.sequence(F.lit(1), F.length("url"))).alias("i"))
-        lengths = more.select(F.length("term").alias("size")).distinct()
+        rows = rows.where(own | wild) if needed else rows
+        # an expanded term in the url need not be in the text: every vocabulary term that fits is tried, in urls of matches which a wildcard fits
+        pattern = "|".join(f"(?:{wildcard_regex(w)})" for w in plan.wildcards)
+        tried = rows.where(F.col("url").rlike(f"(?i){pattern}")).select("doc_id", F.lower("url").alias("u")).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("u"))))
+        lengths = more.select(F.length("term").alias("size")).where(F.col("size") <= 2048).distinct()  # so at most 2048 rows
         parts = tried.join(F.broadcast(lengths), F.col("i") + F.col("size") - 1 <= F.length("u")).select("doc_id", F.substring("u", F.col("i"), F.col("size")).alias("term")).distinct()
         in_url = parts.join(more.select("term"), "term", "left_semi").groupBy("doc_id").agg(F.count("*").alias("__in_url"))
         rows = rows.join(in_url, "doc_id", "left")
         url_hits = url_hits + F.coalesce("__in_url", F.lit(0))
     else:
-        wild, wild_score, wild_terms, n_all = F.lit(False), F.lit(0.0), F.array().cast("array<string>"), F.lit(len(positive))
-    if plan.mode is Mode.WILDCARD and plan.wildcards:
-        rows = rows.where(own | wild)
-    elif not plan.phrases and not plan.regexes and (positive or plan.wildcards):
-        rows = rows.where(own | wild) if plan.wildcards else rows.where(own)
+        wild_score, wild_terms, n_all = F.lit(0.0), F.array().cast("array<string>"), F.lit(len(positive))
     if ranks is None:
         rank = F.lit(1.0 / max(stats["n"], 1))
     else:
         rows = rows.join(ranks.select(F.col("id").alias("doc_id"), F.col("rank").alias("__rank")), "doc_id", "left")
         rank = F.coalesce("__rank", F.lit(0.0))
     features = {
-        "bm25": bm25(plan, known, stats) + wild_score, "phrase": phrase_score(plan), "title": title_share(plan), "url": F.least(url_hits / F.greatest(n_all, F.lit(1)), F.lit(1.0)),
-        "pagerank": rank, "freshness": sc.freshness(F.col("fetched_at"), as_of if as_of is not None else F.current_timestamp()), "personal": interest(history or []),
+        "bm25": term_score(plan, known, stats, tests, model) + wild_score, "phrase": phrase_score(plan), "title": title_share(plan, tests), "url": F.least(url_hits / F.greatest(n_all, F.lit(1)), F.lit(1.0)),
+        "pagerank": rank, "freshness": sc.freshness(F.col("fetched_at"), as_of if as_of is not None else F.current_timestamp()), "personal": interest(told, tests),
     }
-    rows = rows.select(*index.docs.columns, *[c.alias(f"f_{k}") for k, c in features.items()], F.concat(terms_found, wild_terms).alias("matched_terms"))
+    more_columns = extra(tests) if extra else {}
+    rows = rows.select(*SHORT, *[c.alias(f"f_{k}") for k, c in features.items()], F.concat(terms_found, wild_terms).alias("matched_terms"), *[c.alias(k) for k, c in more_columns.items()])
     score = sc.total({k: F.col(f"f_{k}") for k in features}, weights)
     if plan.phrases or plan.regexes:
         score = F.when(score <= 0, sc.FLOOR + F.col("f_personal")).otherwise(score)
     return rows.withColumn("score", score)
 
 
-def hits(found: DataFrame, query: Query, page: int | None = None, size: int | None = None) -> DataFrame:
-    """One page of results, best first, ties by doc_id: ranks are cut before texts become snippets."""
+#: A page up to so many rows is looked up by its ids.
+LOOKED_UP = 10_000
+
+
+def hits(found: DataFrame, query: Query, docs: DataFrame, page: int | None = None, size: int | None = None) -> DataFrame:
+    """One page of results, best first, ties by doc_id: ranks are cut first, then titles and texts of that page are read from ``docs``."""
     size = size or query.size
     offset = (max(page, 1) - 1) * size if page else query.offset
-    top = found.orderBy(F.desc("score"), "doc_id").offset(offset).limit(size)
+    ranked = found.orderBy(F.desc("score"), "doc_id").offset(offset).limit(size)
+    texts = docs.select("doc_id", "title", "text")
+    if size <= LOOKED_UP:
+        rows = ranked.collect()  # one page
+        ranked = found.sparkSession.createDataFrame(rows, found.schema)
+        texts = texts.where(F.col("doc_id").isin([r["doc_id"] for r in rows]))
+    top = texts.join(ranked, "doc_id").orderBy(F.desc("score"), "doc_id")
     return top.select("doc_id", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), tx.snippet(F.col("text"), query.q).alias("snippet"), "score", F.col("f_pagerank").alias("pagerank"), "filetype", "fetched_at", "section", "category", F.concat("doc_id", F.lit(".html")).alias("snapshot_path"), F.slice("matched_terms", 1, MATCHED).alias("matched_terms"), sc.explain({k: F.col(f"f_{k}") for k in sc.WEIGHTS}).alias("explanation"))
 
 
@@ -205,7 +266,8 @@ def facets(found: DataFrame, everything: DataFrame) -> DataFrame:
         keys = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), (ux.authority(F.col("url")) if f == "domain" else F.col(f)).alias("key")) for f in FACETS])).alias("x")
         return rows.select(keys).groupBy("x.facet", "x.key").agg(F.count("*").alias("n"))
 
-    n = counted(everything if found.isEmpty() else found)
+    n = written(counted(found), "facets")  # matched once; what is written is a row for each key
+    n = counted(everything) if n.isEmpty() else n
     most = F.element_at(F.create_map(*[F.lit(x) for kv in FACETS.items() for x in kv]), F.col("facet"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "key"))).where(F.col("rank") <= most)
 
@@ -215,39 +277,41 @@ def search(index: Index, query: Query, **options) -> tuple[DataFrame, DataFrame,
     found = matches(index, parse_query(query), **options)
     plan = parse_query(query)
     totals = found.agg(F.count("*").alias("total_matches")).crossJoin(candidate_total(index, plan))  # one row each
-    return hits(found, query), facets(found, index.docs), totals
+    return hits(found, query, index.docs), facets(found, index.docs), totals
 
 
-def windowed(found: DataFrame, query: Query, window: int = 200_000) -> DataFrame:
+def windowed(found: DataFrame, query: Query, docs: DataFrame, window: int = 200_000) -> DataFrame:
     """Beyond the result window nothing is fetched; a page across its edge is cut."""
     left = max(window - query.offset, 0)
-    return hits(found, query, size=min(query.size, left)) if left else hits(found, query).limit(0)
+    return hits(found, query, docs, size=min(query.size, left)) if left else hits(found.limit(0), query, docs)
 
 
 def remote_score(index: Index, plan: Plan, history: list[str] | None = None, ranks: DataFrame | None = None) -> DataFrame:
     """The profile of a search server: the best field counts, PageRank adds ln(1 + 0.15 pr); approximate by design."""
-    found = matches(index, plan, ranks=ranks, history=history)
     boosts = {"title": 3.0, "anchors": 2.0, "text": 1.0}
-    best = [sum((F.when(F.array_contains(f"{f}_terms", t), b).otherwise(0.0) for t in plan.positive), F.lit(0.0)) for f, b in boosts.items()]
-    return found.withColumn("score", F.greatest(*best) + 0.4 * F.col("f_personal") + F.log1p(0.15 * F.col("f_pagerank")))
+    best = lambda tests: {f"__{f}": sum((F.when(tests.has(t, f), b).otherwise(0.0) for t in plan.positive), F.lit(0.0)) for f, b in boosts.items()}
+    found = matches(index, plan, ranks=ranks, history=history, extra=best)
+    return found.withColumn("score", F.greatest(*[f"__{f}" for f in boosts]) + 0.4 * F.col("f_personal") + F.log1p(0.15 * F.col("f_pagerank"))).drop(*[f"__{f}" for f in boosts])
 
 
-def cosine_rank(pages: DataFrame, query: str, materialise=None) -> DataFrame:
-    """The TF-IDF ranker: cosines of title x 1.8, anchors x 1.4 and text, plus PageRank and a user boost."""
-    from quarry.operators.index import document_frequency, tokenised
+def cosine_rank(index: Index, query: str) -> DataFrame:
+    """The TF-IDF ranker: cosines of title x 1.8, anchors x 1.4 and text, plus PageRank and a user boost, if the documents have them.
 
-    docs = tokenised(pages)
-    docs = materialise(docs) if materialise else docs
+    Norms are a table of the index; a query touches the postings of its own terms.
+    """
     terms = tx.tokens_of(query)
-    n = docs.agg(F.count("*").alias("n"))
-    df = document_frequency(docs)
-    # the norm of a document needs the idf of all its terms: joined once, summed before the shuffle
-    out = docs.select("doc_id", F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"{f}_terms").alias("terms")) for f in FIELDS])).alias("x")).select("doc_id", "x.f", F.explode("x.terms").alias("term"))
-    w = out.join(df, "term").crossJoin(F.broadcast(n)).withColumn("w", sc.smoothed_idf(F.col("n"), F.col("df")))
-    own = w.groupBy("doc_id", "f").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.when(F.col("term").isin(terms), F.col("w") * F.col("w")).otherwise(0.0)).alias("dot"))
-    q = df.where(F.col("term").isin(terms)).crossJoin(F.broadcast(n)).agg(F.coalesce(F.sum(sc.smoothed_idf(F.col("n"), F.col("df")) ** 2), F.lit(0.0)).alias("s"), F.count("*").alias("known"))
-    cos = F.col("dot") / F.nullif(F.col("norm") * F.sqrt(F.col("s") + (len(terms) - F.col("known"))), F.lit(0.0))  # a term without idf weighs 1
-    boost = F.when(F.col("f") == "title", 1.8).when(F.col("f") == "anchors", 1.4).otherwise(1.0)
-    lexical = own.crossJoin(F.broadcast(q)).groupBy("doc_id").agg(F.sum(boost * F.coalesce(cos, F.lit(0.0))).alias("lexical"))
-    extra = [F.coalesce(F.col(c), F.lit(0.0)) if c in pages.columns else F.lit(0.0) for c in ("pagerank", "user_boost")]
-    return docs.join(lexical, "doc_id", "left").select("doc_id", (F.coalesce("lexical", F.lit(0.0)) + 0.15 * extra[0] + 0.20 * extra[1]).alias("score"))
+    n = index.stats.first()["n"]
+    df = {r["term"]: r["df"] for r in index.df.where(F.col("term").isin(terms)).collect()} if terms else {}  # at most one row for each term
+    weight = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items()}
+    asked = math.sqrt(sum(w * w for w in weight.values()) + len(terms) - len(df))  # a term without idf weighs 1
+    square = F.lit(0.0)
+    for t, w in sorted(weight.items()):
+        square = F.when(F.col("term") == t, w * w).otherwise(square)
+    dots = index.postings.where(F.col("term").isin(list(df))).groupBy("doc_id").agg(*[F.sum(F.when(F.col(f"in_{f}"), square).otherwise(0.0)).alias(f"dot_{f}") for f in FIELDS])
+    boost = {"title": 1.8, "anchors": 1.4, "text": 1.0}
+    lexical = F.lit(0.0)
+    for f in FIELDS:
+        lexical = lexical + boost[f] * F.coalesce(F.col(f"dot_{f}") / F.nullif(F.col(f"norm_{f}") * asked, F.lit(0.0)), F.lit(0.0))
+    scored = dots.join(index.norms, "doc_id").select("doc_id", lexical.alias("lexical"))
+    extra = [F.coalesce(F.col(c), F.lit(0.0)) if c in index.docs.columns else F.lit(0.0) for c in ("pagerank", "user_boost")]
+    return index.docs.join(scored, "doc_id", "left").select("doc_id", (F.coalesce("lexical", F.lit(0.0)) + 0.15 * extra[0] + 0.20 * extra[1]).alias("score"))

@@ -443,12 +443,12 @@ _TOP = Query("the erly thble nicht", size=20)
 @query(f"{search_ctes(_TOP)} SELECT doc_id, round(score, 6) AS score FROM f ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a ranked page of results."""
-    return search.hits(_found(spark, sf_dir, _TOP), _TOP).select("doc_id", F.round("score", 6).alias("score"))
+    return search.hits(_found(spark, sf_dir, _TOP), _TOP, vw.index_of(spark, sf_dir).docs).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"{search_ctes(_TOP)} SELECT doc_id, round(score, 6) AS score FROM f ORDER BY score DESC, doc_id LIMIT 10 OFFSET 20")
 def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hits(_found(spark, sf_dir, _TOP), _TOP, page=3, size=10).select("doc_id", F.round("score", 6).alias("score"))
+    return search.hits(_found(spark, sf_dir, _TOP), _TOP, vw.index_of(spark, sf_dir).docs, page=3, size=10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _FEATURES, _HISTORY = Query('"of the" erly title:the'), ("erly the", "the nicht")
@@ -488,7 +488,7 @@ p AS (SELECT doc_id, f, term FROM (SELECT doc_id, 1.8 AS f, unnest(tt) AS term F
 c AS (SELECT doc_id, f, sum(CASE WHEN term IN ('the', 'erly') THEN i * i ELSE 0 END) / nullif(sqrt(sum(i * i)) * any_value(qn), 0) AS cos FROM p JOIN w USING (term), qn GROUP BY doc_id, f)
 SELECT d.doc_id, round(coalesce(sum(f * cos), 0), 6) AS score FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id""")
 def cosine_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.cosine_rank(vw.documents(spark, sf_dir), _COS).select("doc_id", F.round("score", 6).alias("score"))
+    return search.cosine_rank(vw.index_of(spark, sf_dir), _COS).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query()

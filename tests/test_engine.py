@@ -60,12 +60,12 @@ def test_facets_of_nothing(ix):
 def test_window(ix):
     q = Query("课程 论坛", page=1, size=10)
     found = search.matches(ix, search.parse_query(q))
-    assert search.windowed(found, q, 1).count() == 1 and search.windowed(found, Query("x", page=2), 10).count() == 0
+    assert search.windowed(found, q, ix.docs, 1).count() == 1 and search.windowed(found, Query("x", page=2), ix.docs, 10).count() == 0
 
 
 def test_title_counts_more(spark):
     rows = spark.createDataFrame([("1", "普通校园通知", "信息检索课程安排"), ("2", "信息检索学术论坛", "普通新闻内容")], "doc_id string, title string, text string")
-    assert search.cosine_rank(rows, "信息检索").orderBy(F.desc("score")).first().doc_id == "2"
+    assert search.cosine_rank(index.build(rows), "信息检索").orderBy(F.desc("score")).first().doc_id == "2"
 
 
 def test_bm25(spark):
