@@ -36,7 +36,7 @@ def parse(responses: DataFrame) -> DataFrame:
     body = F.decode("body", "UTF-8")
     told = F.coalesce(F.col("content_length").try_cast("long"), F.lit(0)) if "content_length" in responses.columns else F.lit(0)
     large = F.coalesce(F.length("body") > MAX_BODY, F.lit(False)) | (told > MAX_DOWNLOAD)
-    kind = F.when(ux.is_document_url(F.col("url")), ux.suffix_of(F.col("url"))).when(ux.looks_like_xml(body, F.col("content_type")), "xml").otherwise("html")
+    kind = F.coalesce(ux.document_type(F.col("url"), F.col("content_type")), F.when(ux.looks_like_xml(body, F.col("content_type")), "xml").otherwise("html"))
     rows = responses.withColumns({"filetype": kind, "source": body, "large": large})
     same = ["url", "status", "content_type", "filetype", "section", "category", "fetched_at"]
     none = F.array().cast("array<string>")

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from quarry.functions import urls as ux
 
 
+def canonical(urls: DataFrame) -> DataFrame:
+    """The distinct canonical urls. Canonicalising is the dear part: done once for each spelling, in a generator, through which no later filter is moved."""
+    return urls.select("url").distinct().select(F.explode(F.array(ux.canonical_url(F.col("url")))).alias("url")).where("url <> ''").distinct()
+
+
 def candidates(urls: DataFrame, site: ux.Site = ux.Site()) -> DataFrame:
     """(url, kind, score) of the canonical form of each distinct url; urls: url."""
-    distinct = urls.select("url").distinct()  # canonicalising is the dear part
-    rows = distinct.select(ux.canonical_url(F.col("url")).alias("url")).where("url <> ''").distinct()
-    return rows.withColumn("kind", ux.url_kind(F.col("url"), site)).withColumn("score", ux.kind_score(F.col("kind")))
+    rows = canonical(urls).select("url", F.explode(F.array(ux.url_kind(F.col("url"), site))).alias("kind"))
+    return rows.withColumn("score", ux.kind_score(F.col("kind")))
 
 
 def select(urls: DataFrame, least: float = ux.MIN_SCORE, site: ux.Site = ux.Site()) -> DataFrame:
@@ -26,7 +30,7 @@ def ordered(rows: DataFrame) -> DataFrame:
 
 def expand(pages: DataFrame, site: ux.Site = ux.Site(), least: float = ux.MIN_SCORE, most: int = 180_000) -> DataFrame:
     """The best links of crawled pages (url, outgoing_links) that are not crawled yet; refresh pages come again."""
-    written = pages.select(ux.canonical_url(F.col("url")).alias("url")).where("url <> ''").distinct()
+    written = canonical(pages)
     refresh = written.where((F.lower(ux.authority(F.col("url"))) == site.refresh_host) & F.regexp_replace(ux.url_path(F.col("url")), "/+$", "").isin(*site.refresh_paths)) if site.refresh_host else written.limit(0)
     links = select(pages.select(F.explode("outgoing_links").alias("url")), least, site)
     fresh = links.join(written.join(refresh, "url", "left_anti"), "url", "left_anti")

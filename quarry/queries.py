@@ -583,10 +583,10 @@ def user_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suggest.user_terms(users, log).select("user_id", _joined(F.col("terms"), "|").alias("terms"))
 
 
-@query(f"""WITH {vw.TOK}, h AS (SELECT user_id, term, count(*) AS w FROM (SELECT user_id, unnest({vw.TOKENS.format('query')}) AS term FROM (SELECT user_id, event_type || ' the ' || CASE WHEN event_id % 2 = 0 THEN 'erly' ELSE 'nicht' END AS query FROM events WHERE user_id <= 5)) GROUP BY user_id, term),
+@query(f"""WITH {vw.TOK}, h AS (SELECT user_id, term, count(*) AS w FROM (SELECT user_id, unnest({vw.TOKENS.format('query')}) AS term FROM (SELECT user_id, event_type || ' the ' || CASE WHEN event_id % 2 = 0 THEN 'erly' ELSE 'nicht' END AS query FROM events)) GROUP BY user_id, term),
 t AS (SELECT user_id, sum(w) AS total FROM h GROUP BY user_id) SELECT user_id, doc_id, round(least(sum(w) / any_value(total), 1.0), 6) AS score FROM (SELECT doc_id, unnest(al) AS term FROM tok) JOIN h USING (term) JOIN t USING (user_id) GROUP BY user_id, doc_id""")
 def interest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = vw.table(spark, sf_dir, "events").where("user_id <= 5")
+    e = vw.table(spark, sf_dir, "events")
     log = e.select("user_id", F.concat("event_type", F.lit(" the "), F.when(F.col("event_id") % 2 == 0, "erly").otherwise("nicht")).alias("query"))
     docs = vw.index_of(spark, sf_dir).docs.select("doc_id", F.array_union("title_terms", "text_terms").alias("tokens"))
     return suggest.interest_scores(log, docs).withColumn("score", F.round("score", 6))

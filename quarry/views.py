@@ -12,7 +12,7 @@ from quarry.plans.schema import doc_id
 from quarry.plans.tables import shared_folder
 
 AS_OF = "2026-01-01 00:00:00"
-_INDEXES: dict[tuple[str, str], Index] = {}
+_INDEXES: dict[tuple, Index] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def queries_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_of(spark: SparkSession, sf_dir: str) -> Index:
     """The index of documents, built once per session and table and kept in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, *_version(spark, f"{sf_dir}/documents.parquet"))
     if key not in _INDEXES:
         path = f"{shared_folder(spark)}/index-{abs(hash(key))}"
         build(documents(spark, sf_dir), materialise=_docs(path)).save(path)
@@ -51,6 +51,13 @@ def index_of(spark: SparkSession, sf_dir: str) -> Index:
     return _INDEXES[key]
 
 
+def _version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Time and length of a table's files: another version gets an index of its own."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(at).getModificationTime(), fs.getContentSummary(at).getLength()
+
+
 def _docs(path: str):
     def keep(docs: DataFrame) -> DataFrame:
         docs.write.mode("overwrite").parquet(f"{path}/tokenised")

@@ -103,3 +103,18 @@ def test_html(spark):
 
 def test_xml(spark):
     assert one(spark, ux.looks_like_xml(S), " <?xml version", "<urlset>", "<html>", None) == [True, True, False, False]
+
+
+def test_canonical_urls_are_those_of_pythons_parser(spark):
+    urls = ["http://A.com:80/x?q=a%20b", "http://a.com/x?q=a+b", "https://a.com?b=2&a=%C3%A9&a=*~", "http://a.com/?x=100%&y=%zz", "http://a.com/a;p=1?x=1", "http://a.com/?utm_a=1&%75tm_b=2&z=1#f", "http://a.com/?a=1=2&b=&c", "ftp://a.com", "", None, "http://u@a.com:8080/p?k=/:@&k=%2F"]
+    got = [(r.a, r.b) for r in spark.createDataFrame([(u,) for u in urls], "u string").select(ux.canonical_url(F.col("u")).alias("a"), ux.canonical_url_exact(F.col("u")).alias("b")).collect()]
+    assert [a for a, _ in got] == [b for _, b in got]
+    assert got[0][0] == got[1][0] == "http://a.com/x?q=a+b"
+
+
+def test_types_of_responses(spark):
+    office = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    rows = [("http://a.com/d", office), ("http://a.com/s", "application/xml; charset=utf-8"), ("http://a.com/f", "application/rss+xml"), ("http://a.com/h", "text/html"), ("http://a.com/x", "application/xhtml+xml"), ("http://a.com/p.pdf", ""), ("http://a.com/q", "application/pdf")]
+    df = spark.createDataFrame(rows, "url string, kind string")
+    got = [(r.d, r.x) for r in df.select(ux.document_type(F.col("url"), F.col("kind")).alias("d"), ux.looks_like_xml(F.lit("<p>"), F.col("kind")).alias("x")).collect()]
+    assert got == [("docx", False), (None, True), (None, True), (None, False), (None, False), ("pdf", False), ("pdf", False)]
