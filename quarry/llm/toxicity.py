@@ -45,6 +45,8 @@ def bucket(word: bytes) -> int:
 def swaps(words: set[bytes], groups=IDENTITIES) -> list[set[bytes]]:
     """The words with their identity terms moved on by one, two, ... places in their groups: each other term comes once."""
     named = [(a, g, i) for g in groups for i, a in enumerate(g) if a.encode() in words]
+    if not named:
+        return []
     rest = words - {a.encode() for a, _, _ in named}
     turns = range(1, max((len(g) for _, g, _ in named), default=1))
     out = [rest | {g[(i + k) % len(g)].encode() for _, g, i in named} for k in turns]
@@ -131,7 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, most_bytes:
     got = one.withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id", "toxic", "words").toArrow()
     order = np.argsort(got.column("doc_id").to_numpy())
     words, toxic = got.column("words").to_pylist(), got.column("toxic").to_pylist()
-    return fit([set(words[i].split()) for i in order], [toxic[i] for i in order])
+    del got
+    known: dict[bytes, bytes] = {}  # a word is kept once, however many texts have it
+    sets = [{known.setdefault(w, w) for w in words[i].split()} for i in order]
+    del words
+    return fit(sets, [toxic[i] for i in order])
 
 
 def score_words(words: set[bytes], weights: np.ndarray) -> float:
