@@ -1,4 +1,4 @@
-"""python -m quarry clean|index|profile|search|plan ..."""
+"""python -m quarry clean|index|profile|search|plan|serve ..."""
 
 from __future__ import annotations
 
@@ -11,10 +11,11 @@ from pyspark.sql import SparkSession
 def main() -> None:
     p = argparse.ArgumentParser(prog="quarry")
     sub = p.add_subparsers(dest="job", required=True)
-    for name, places in (("clean", ("source", "target")), ("index", ("source", "target", "store")), ("profile", ("source",)), ("search", ("index", "query")), ("plan", ())):
+    for name, places in (("clean", ("source", "target")), ("index", ("source", "target", "store")), ("profile", ("source",)), ("search", ("index", "query")), ("plan", ()), ("serve", ("index", "store"))):
         one = sub.add_parser(name)
         for x in places:
             one.add_argument(x)
+    sub.choices["serve"].add_argument("--port", type=int, default=8000)
     a = p.parse_args()
     from quarry.operators import search
     from quarry.operators.index import Index
@@ -30,6 +31,12 @@ def main() -> None:
         print(jobs.profile(spark, a.source))
     elif a.job == "plan":
         print(sections.format_table(sections.dimension(spark)))
+    elif a.job == "serve":
+        from quarry import web
+        from quarry.api import Service
+        from quarry.sources.store import Store
+
+        web.server(Service(spark, Index.load(spark, a.index), Store(spark, a.store)), port=a.port).serve_forever()
     else:
         for r in search.search(Index.load(spark, a.index), Query(a.query))[0].collect():
             print(json.dumps(r.asDict(recursive=True), ensure_ascii=False))

@@ -36,6 +36,10 @@ class Service:
     def _rows(self, df) -> list[dict]:
         return [r.asDict(recursive=True) for r in df.collect()]  # pages of results and roll-ups only
 
+    def user_of(self, session: str | None) -> int | None:
+        row = self.store.user_of_session(session).select("id").first() if session else None
+        return row["id"] if row else None
+
     def terms_of(self, user_id: int | None) -> list[str]:
         if user_id is None:
             return []

@@ -1,8 +1,11 @@
 import json
+import threading
+import urllib.request
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarry import web
 from quarry.api import Service
 from quarry.operators import crawl
 from quarry.plans import jobs, pipeline, sections
@@ -60,6 +63,34 @@ def test_service(spark, service):
             service.search("x", **bad)
 
 
+def test_routes(spark, service):
+    def get(target, **k):
+        status, _, body = web.answer(service, k.pop("method", "GET"), target, **k)
+        return status, json.loads(body)
+
+    status, found = get("/api/search?q=longer+words&size=5")
+    assert status == 200 and found["total"] == 1 and found["results"][0]["url"] == f"{B}/a.html"
+    assert [get(f"/api/search?q=x&{bad}")[0] for bad in ("page=0", "size=51", "size=x")] == [422] * 3
+    assert get("/api/crawl-plan?scale_factor=30")[0] == 422 and get("/api/crawl-plan?scale_factor=2")[1]["target_pages"] == 320000
+    logged = service.store.table("query_logs").count()
+    assert get("/api/facets?q=words&section=news")[0] == 200 and service.store.table("query_logs").count() == logged
+    assert get("/api/health")[1]["documents"] == 3 and get("/api/pipeline")[1][0]["name"] == "normalise_query" and get("/nothing")[0] == get("/snapshot/none")[0] == 404
+    assert web.answer(service, "GET", f"/snapshot/{found['results'][0]['doc_id']}") == (200, "text/html; charset=utf-8", b"<p>a</p>")
+    assert get("/api/click", method="POST", body=b"[1]")[0] == get("/api/click", method="POST", body=b"{")[0] == get("/api/click", method="POST", body=b"{}")[0] == 422
+    assert get("/api/profile", method="POST", body=b'{"interests": "maps"}')[0] == 401
+    service.store.append("users", spark.createDataFrame([(6, "v", "old", 0)], "id long, username string, interests string, version long"))
+    service.store.append("sessions", spark.createDataFrame([("t0", 6)], "token string, user_id long"))
+    assert get("/api/profile", method="POST", body=b'{"interests": "maps"}', session="t0")[0] == 200 and service.terms_of(6)[0] == "maps"
+
+
+def test_served(service):
+    server = web.server(service, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/health", timeout=60) as r:
+        assert r.status == 200 and json.load(r)["status"] == "ok"
+    server.shutdown()
+
+
 def test_components_are_replaceable(service):
     seen = []
 
