@@ -21,13 +21,14 @@ from quarry.functions import scoring as sc
 from quarry.functions import text as tx
 from quarry.functions import urls as ux
 from quarry.operators.index import FIELDS, Index
-from quarry.plans.query_language import Mode, Plan, Query, parse_query, site_prefixes, wildcard_regex
+from quarry.plans.query_language import Mode, Plan, Query, parse_query, site_prefixes, wildcard_regex, with_aliases
 from quarry.plans.schema import FIELDS as SPEC
 from quarry.plans.tables import written
 
 BOOSTS = {f.name: f.boost for f in SPEC if f.scorable}
 # Facet sizes, matched terms shown, phrase scores.
 FACETS = {"filetype": 8, "domain": 8, "category": 12, "section": 12}
+REMOTE_FACETS = {"filetype": 20, "category": 12, "section": 12}
 MATCHED, PHRASE_TITLE, PHRASE_TEXT = 12, 2.5, 1.2
 
 
@@ -260,16 +261,27 @@ def hits(found: DataFrame, query: Query, docs: DataFrame, page: int | None = Non
     return top.select("doc_id", "url", F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), tx.snippet(F.col("text"), query.q).alias("snippet"), "score", F.col("f_pagerank").alias("pagerank"), "filetype", "fetched_at", "section", "category", F.concat("doc_id", F.lit(".html")).alias("snapshot_path"), F.slice("matched_terms", 1, MATCHED).alias("matched_terms"), sc.explain({k: F.col(f"f_{k}") for k in sc.WEIGHTS}).alias("explanation"))
 
 
+def _counted(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(facet, key, n), summed before the shuffle."""
+    keys = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), (ux.authority(F.col("url")) if f == "domain" else F.col(f)).alias("key")) for f in sizes])).alias("x")
+    return rows.select(keys).groupBy("x.facet", "x.key").agg(F.count("*").alias("n"))
+
+
+def _most_frequent(n: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("facet"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "key"))).where(F.col("rank") <= most)
+
+
 def facets(found: DataFrame, everything: DataFrame) -> DataFrame:
     """(facet, key, n, rank) of the matches; of the whole corpus if there are none."""
-    def counted(rows: DataFrame) -> DataFrame:
-        keys = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), (ux.authority(F.col("url")) if f == "domain" else F.col(f)).alias("key")) for f in FACETS])).alias("x")
-        return rows.select(keys).groupBy("x.facet", "x.key").agg(F.count("*").alias("n"))
+    n = written(_counted(found, FACETS), "facets")  # matched once; what is written is a row for each key
+    return _most_frequent(_counted(everything, FACETS) if n.isEmpty() else n, FACETS)
 
-    n = written(counted(found), "facets")  # matched once; what is written is a row for each key
-    n = counted(everything) if n.isEmpty() else n
-    most = F.element_at(F.create_map(*[F.lit(x) for kv in FACETS.items() for x in kv]), F.col("facet"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "key"))).where(F.col("rank") <= most)
+
+def remote_facets(found: DataFrame) -> DataFrame:
+    """The same as a search server's profile gives it: of the matches only, other sizes; null is no key, and the empty key, which counts in the cut, never shows."""
+    n = _counted(found, REMOTE_FACETS).where("key is not null")
+    return _most_frequent(n, REMOTE_FACETS).where("key <> ''")
 
 
 def search(index: Index, query: Query, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -286,11 +298,14 @@ def windowed(found: DataFrame, query: Query, docs: DataFrame, window: int = 200_
     return hits(found, query, docs, size=min(query.size, left)) if left else hits(found.limit(0), query, docs)
 
 
-def remote_score(index: Index, plan: Plan, history: list[str] | None = None, ranks: DataFrame | None = None) -> DataFrame:
-    """The profile of a search server: the best field counts, PageRank adds ln(1 + 0.15 pr); approximate by design."""
+def remote_score(index: Index, plan: Plan, history: list[str] | None = None, ranks: DataFrame | None = None, aliases=with_aliases) -> DataFrame:
+    """The profile of a search server: the best field counts, PageRank adds ln(1 + 0.15 pr); approximate by design.
+
+    ``aliases`` puts the names of sections and categories that the documents carry for those asked for.
+    """
     boosts = {"title": 3.0, "anchors": 2.0, "text": 1.0}
     best = lambda tests: {f"__{f}": sum((F.when(tests.has(t, f), b).otherwise(0.0) for t in plan.positive), F.lit(0.0)) for f, b in boosts.items()}
-    found = matches(index, plan, ranks=ranks, history=history, extra=best)
+    found = matches(index, aliases(plan), ranks=ranks, history=history, extra=best)
     return found.withColumn("score", F.greatest(*[f"__{f}" for f in boosts]) + 0.4 * F.col("f_personal") + F.log1p(0.15 * F.col("f_pagerank"))).drop(*[f"__{f}" for f in boosts])
 
 

@@ -22,6 +22,9 @@ from quarry.functions.text import tokens_of
 # Quotes, operator names and aliases.
 QUOTES = {'"': '"', "“": "”", "‘": "’", "「": "」", "『": "』"}
 OPERATORS = ("site", "filetype", "section", "category", "title", "inurl", "after", "before")
+# Other names of sections and categories; a site passes its own.
+SECTION_ALIASES = {"动漫资源": "anime", "动漫": "anime"}
+CATEGORY_ALIASES = {"动漫": "动漫资源", "anime": "动漫资源"}
 _QUOTED = "|".join(f"{a}[^{b}]+{b}" for a, b in QUOTES.items())
 _OPERATOR = re.compile(rf"(-?)({'|'.join(OPERATORS)}):\s*({_QUOTED}|\S+)")
 
@@ -174,6 +177,7 @@ def normalised(query: Query) -> Query:
     return replace(query, q=" ".join((query.q or "").split()), mode=detect_mode(query.q, query.mode).value)
 
 
-def with_aliases(plan: Plan, sections: dict[str, str], categories: dict[str, str]) -> Plan:
-    """Section and category names by alias; the local profile does without."""
-    return replace(plan, section=sections.get(plan.section, plan.section), category=categories.get(plan.category, plan.category))
+def with_aliases(plan: Plan, sections: dict[str, str] = SECTION_ALIASES, categories: dict[str, str] = CATEGORY_ALIASES) -> Plan:
+    """Section and category names, trimmed, by alias: what the server profile asks for; the local profile does without."""
+    known = lambda names, value: names.get(value.strip(), value.strip()) if value else None
+    return replace(plan, section=known(sections, plan.section), category=known(categories, plan.category))

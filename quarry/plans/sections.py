@@ -45,6 +45,19 @@ def sitemap_seeds(domains: DataFrame) -> DataFrame:
     return domains.where("domain <> ''").select(F.explode(F.array(*[F.concat(F.lit(s), F.col("domain"), F.lit("/sitemap.xml")) for s in ("https://", "http://")])).alias("url"))
 
 
+def start_urls(*parts: DataFrame) -> DataFrame:
+    """(url, part): the urls of all parts, each once, with the first part that has it; in order of part, pos if a part has it, url.
+
+    Parts are given in the order in which they are to be requested, such as seeds, sitemaps, expanded links.
+    """
+    rows = [p.select("url", F.lit(i).alias("part"), (F.col("pos") if "pos" in p.columns else F.lit(0)).cast("long").alias("pos")) for i, p in enumerate(parts)]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    first = out.where("url <> ''").groupBy("url").agg(F.min(F.struct("part", "pos")).alias("at"))
+    return first.orderBy("at", "url").select("url", "at.part")
+
+
 def section_of(rows=EXAMPLE, root: str = "example.edu"):
     """(host, is_document) -> section key: the first section whose domain is the host or above it.
 

@@ -491,7 +491,7 @@ def cosine_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.cosine_rank(vw.index_of(spark, sf_dir), _COS).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""{search_ctes(_TOP)} SELECT doc_id, round(greatest({', '.join('(' + ' + '.join(f"{b} * CAST(list_contains({a}, '{t}') AS INTEGER)" for t in parse_query(_TOP).positive) + ')' for a, b in (('tt', 3.0), ('xt', 1.0)))}) + ln(1 + 0.15 * pagerank), 6)::DOUBLE AS score FROM f""")
 def remote_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.remote_score(vw.index_of(spark, sf_dir), parse_query(_TOP)).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -590,3 +590,6 @@ def interest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = e.select("user_id", F.concat("event_type", F.lit(" the "), F.when(F.col("event_id") % 2 == 0, "erly").otherwise("nicht")).alias("query"))
     docs = vw.index_of(spark, sf_dir).docs.select("doc_id", F.array_union("title_terms", "text_terms").alias("tokens"))
     return suggest.interest_scores(log, docs).withColumn("score", F.round("score", 6))
+
+
+from quarry import flows  # noqa: E402, F401  registers the queries of sources, stores and streams

@@ -24,15 +24,19 @@ def distinct_urls(items: DataFrame, column: str = "url", watermark: tuple[str, s
 def within_budget(items: DataFrame, budgets: dict[str, int], initial: dict[str, int] | None = None, order: str = "seq") -> DataFrame:
     """The first B items of each section, counted in state; ``initial`` is what was written before the first start.
 
-    Inside a micro-batch items count in ``order``.  A section without a budget passes.
+    Inside a micro-batch items count in ``order``.  A section without a budget passes.  No more is
+    held of a section than what its budget leaves and one Arrow batch.
     """
     names, done = items.columns, initial or {}
 
     def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         count = state.get[0] if state.exists else done.get(key[0], 0)
-        rows = pd.concat(list(frames)).sort_values(order)
-        budget = budgets.get(key[0])
-        kept = rows if budget is None else rows.head(max(budget - count, 0))
+        if key[0] not in budgets:
+            yield from (rows[names] for rows in frames)
+            return
+        left, kept = max(budgets[key[0]] - count, 0), None
+        for rows in frames:
+            kept = (rows if kept is None else pd.concat([kept, rows])).sort_values(order).head(left)
         state.update((count + len(kept),))
         yield kept[names]
 
@@ -57,6 +61,12 @@ def append_to(items: DataFrame, path: str, checkpoint: str, kind: str = "json",
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def roll_up(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a table of running aggregates: each micro-batch replaces it by the state's whole result."""
+    step = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    return items.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+
+
 def until(items: DataFrame, limit: int, sink: Callable[[DataFrame, int], None], checkpoint: str, count: Callable[[], int]) -> StreamingQuery:
     """Stops when ``count()`` rows (of the sink) have reached the limit; the batch that reaches it is cut."""
     holder: list[StreamingQuery] = []
