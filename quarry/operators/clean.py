@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.functions import urls as ux
+from quarry.plans.tables import computed
 
 # Statuses that count as success, and caps of the quality tuple.
 SUCCESS, LONGEST = (200, 202), 2_000_000
@@ -59,7 +60,7 @@ def normalise_documents(pages: DataFrame) -> DataFrame:
 def judged(pages: DataFrame) -> DataFrame:
     """pages with reason, key and quality."""
     c = F.col
-    return pages.withColumns({"reason": rejection_reason(c("url"), c("status"), c("filetype"), c("title"), c("text"), c("html")), "key": ux.canonical_key(c("url")), "quality": quality(c("status"), c("text"), c("html"), c("title"), c("outgoing_links"))})
+    return computed(pages, reason=rejection_reason(c("url"), c("status"), c("filetype"), c("title"), c("text"), c("html")), key=ux.canonical_key(c("url")), quality=quality(c("status"), c("text"), c("html"), c("title"), c("outgoing_links")))
 
 
 def clean(pages: DataFrame, seq: str = "line_no") -> tuple[DataFrame, DataFrame]:

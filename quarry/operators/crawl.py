@@ -11,6 +11,7 @@ from quarry.functions import html as hx
 from quarry.functions import text as tx
 from quarry.functions import urls as ux
 from quarry.operators import frontier
+from quarry.plans.tables import computed
 from quarry.sources.documents import extract
 
 MAX_BODY, MAX_DOWNLOAD = 1 << 20, 3 << 20
@@ -37,7 +38,7 @@ def parse(responses: DataFrame) -> DataFrame:
     told = F.coalesce(F.col("content_length").try_cast("long"), F.lit(0)) if "content_length" in responses.columns else F.lit(0)
     large = F.coalesce(F.length("body") > MAX_BODY, F.lit(False)) | (told > MAX_DOWNLOAD)
     kind = F.coalesce(ux.document_type(F.col("url"), F.col("content_type")), F.when(ux.looks_like_xml(body, F.col("content_type")), "xml").otherwise("html"))
-    rows = responses.withColumns({"filetype": kind, "source": body, "large": large})
+    rows = computed(responses, filetype=kind, source=body, large=large)
     same = ["url", "status", "content_type", "filetype", "section", "category", "fetched_at"]
     none = F.array().cast("array<string>")
     documents = rows.where(~F.col("filetype").isin("xml", "html")).withColumn("x", extract("body", "filetype"))

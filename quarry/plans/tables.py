@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,3 +33,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are computed once for each row: no later filter or projection is moved through a
+    generator, so that dear expressions are not copied into them."""
+    kept = [c for c in rows.columns if c not in columns]
+    x = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("__x")
+    return rows.select(*kept, x).select(*kept, "__x.*")
