@@ -1,8 +1,8 @@
 """Office documents as text and metadata titles, on the standard library.
 
 Files come from ``spark.read.format("binaryFile")``.  docx, xlsx and pptx are
-zips of XML.  PDF needs a third-party reader and is read only if one is
-installed; doc, xls and ppt have no reader and give an empty text.
+zips of XML; PDF has a reader of its own, whatever else is installed.  doc, xls
+and ppt have no reader and give an empty text.
 """
 
 from __future__ import annotations
@@ -18,11 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import _normal
-
-try:
-    import pdfplumber
-except ImportError:
-    pdfplumber = None
+from quarry.sources.pdf import Pdf
 
 
 def xml_text(body: bytes, tags: set[str]) -> str:
@@ -62,19 +58,19 @@ def document_text(body: bytes, filetype: str) -> str:
         if kind == "xlsx":
             return _sheet_cells(body)
         if kind == "pdf":
-            if pdfplumber is None:
-                return ""
-            with pdfplumber.open(io.BytesIO(body)) as pdf:
-                return _normal(" ".join(p.extract_text() or "" for p in pdf.pages))
+            return _normal(Pdf(body).text())
         return "" if kind in ("doc", "xls", "ppt") else _normal(body.decode("utf-8", errors="ignore"))
     except Exception:  # a broken file is an empty document
         return ""
 
 
 def metadata_title(body: bytes, filetype: str) -> str:
-    if (filetype or "").lower() not in ("docx", "pptx"):
+    kind = (filetype or "").lower()
+    if kind not in ("docx", "pptx", "pdf"):
         return ""
     try:
+        if kind == "pdf":
+            return _normal(Pdf(body).title())
         return xml_text(_parts(body, "docProps/core.xml")[0], {"title"})
     except Exception:
         return ""
