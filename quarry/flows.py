@@ -192,8 +192,12 @@ def component_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder as a stream of files."""
-    return spark.readStream.schema(vw.table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table of the folder, one file or a folder of files, as a stream of files."""
+    at = f"{sf_dir}/{name}.parquet"
+    rows = spark.readStream.schema(vw.table(spark, sf_dir, name).schema)
+    if vw.is_folder(spark, at):
+        return rows.parquet(at)
+    return rows.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a stream's path must be a folder
 
 
 def _appended(spark: SparkSession, items: DataFrame) -> DataFrame:
