@@ -48,8 +48,7 @@ def build_index(spark: SparkSession, source: str, target: str, store: str, last:
     shop.add_snapshots(pages)
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     shop.append("suggestions", suggest.strongest(suggest.upsert(suggest.from_documents(pages).withColumn("updated_at", now))))
-    built = index.build(clean.index_projection(pages, ranks), materialise=lambda d: written(d, "docs"))
-    built.save(target)
+    index.build(written(clean.index_projection(pages, ranks), "docs")).save(target)
     return index.Index.load(spark, target)
 
 
