@@ -189,16 +189,16 @@ def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list
     own = tests.any(positive)
     if not plan.phrases and not plan.regexes and positive and not plan.wildcards:
         ok = ok & own
-    whole = [c for c in ("title", "combined") if plan.phrases or plan.regexes]
+    phrase = phrase_score(plan).alias("__phrase")  # where the texts are: they are not joined
     wanted = structured(plan)
     for p in plan.phrases:
         wanted = wanted & F.contains("combined", F.lit(p.lower()))
     for p in plan.regexes:
         wanted = wanted & regex_test(p)
     if by_terms:
-        rows = index.docs.where(wanted).select(*SHORT, *whole).join(tests.rows(index.postings).where(ok), "doc_id")
+        rows = index.docs.where(wanted).select(*SHORT, phrase).join(tests.rows(index.postings).where(ok), "doc_id")
     else:
-        rows = index.docs.where(wanted & ok).select(*SHORT, *whole, *[f"{f}_terms" for f in FIELDS])
+        rows = index.docs.where(wanted & ok).select(*SHORT, phrase, *[f"{f}_terms" for f in FIELDS])
     url_hits = F.lit(0)
     for t in [*positive, *plan.url_terms]:
         url_hits = url_hits + F.contains(F.lower("url"), F.lit(t.lower())).cast("int")
@@ -232,7 +232,7 @@ def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list
         rows = rows.join(ranks.select(F.col("id").alias("doc_id"), F.col("rank").alias("__rank")), "doc_id", "left")
         rank = F.coalesce("__rank", F.lit(0.0))
     features = {
-        "bm25": term_score(plan, known, stats, tests, model) + wild_score, "phrase": phrase_score(plan), "title": title_share(plan, tests), "url": F.least(url_hits / F.greatest(n_all, F.lit(1)), F.lit(1.0)),
+        "bm25": term_score(plan, known, stats, tests, model) + wild_score, "phrase": F.col("__phrase"), "title": title_share(plan, tests), "url": F.least(url_hits / F.greatest(n_all, F.lit(1)), F.lit(1.0)),
         "pagerank": rank, "freshness": sc.freshness(F.col("fetched_at"), as_of if as_of is not None else F.current_timestamp()), "personal": interest(told, tests),
     }
     more_columns = extra(tests) if extra else {}
@@ -285,9 +285,9 @@ def remote_facets(found: DataFrame) -> DataFrame:
 
 
 def search(index: Index, query: Query, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hits, facets, totals) as three lazy DataFrames."""
-    found = matches(index, parse_query(query), **options)
+    """(hits, facets, totals) as three DataFrames; the matches' short columns are written once for the three."""
     plan = parse_query(query)
+    found = written(matches(index, plan, **options), "matches")
     totals = found.agg(F.count("*").alias("total_matches")).crossJoin(candidate_total(index, plan))  # one row each
     return hits(found, query, index.docs), facets(found, index.docs), totals
 
