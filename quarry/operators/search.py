@@ -5,7 +5,8 @@ the query's own terms, which skips row groups of the sorted files, becomes one r
 of flags for each document that has any; only these documents are looked up, and
 only their short columns.  Texts are read for one page of results.  Phrases and
 regular expressions without a term, which may start and end within words, and
-queries of filters only are tests on the documents themselves.
+queries of filters only are tests on the documents themselves, to whose matches
+the flags are joined.
 """
 
 from __future__ import annotations
@@ -56,14 +57,17 @@ def structured(plan: Plan) -> Column:
     return out
 
 
-class Scan:
-    """Tests of a document's terms on its token arrays."""
+class Located:
+    """Tests of a document's terms on the flags that ``rows`` takes from the postings."""
+
+    def __init__(self, terms):
+        self.number = {t: i for i, t in enumerate(dict.fromkeys(terms))}
 
     def has(self, t: str, f: str) -> Column:
-        return F.array_contains(f"{f}_terms", t)
+        return F.col(f"__{f}_{self.number[t]}") if t in self.number else F.lit(False)
 
     def size(self, f: str) -> Column:
-        return F.size(f"{f}_terms")
+        return F.col(f"__len_{f}")
 
     def any(self, terms) -> Column:
         """Any field holds any of the terms."""
@@ -73,18 +77,12 @@ class Scan:
                 out = out | self.has(t, f)
         return out
 
-
-class Located(Scan):
-    """The same on the flags that ``rows`` takes from the postings."""
-
-    def __init__(self, terms):
-        self.number = {t: i for i, t in enumerate(dict.fromkeys(terms))}
-
-    def has(self, t: str, f: str) -> Column:
-        return F.col(f"__{f}_{self.number[t]}") if t in self.number else F.lit(False)
-
-    def size(self, f: str) -> Column:
-        return F.col(f"__len_{f}")
+    def added(self, docs: DataFrame, postings: DataFrame) -> DataFrame:
+        """docs with lengths and flags; documents with none of the terms stay."""
+        if not self.number:
+            return docs
+        rows = docs.join(self.rows(postings), "doc_id", "left")
+        return rows.fillna(False, [f"__{f}_{i}" for i in self.number.values() for f in FIELDS])
 
     def rows(self, postings: DataFrame) -> DataFrame:
         """doc_id, field lengths and a flag for each term and field, of documents with any of the terms."""
@@ -134,7 +132,7 @@ def expanded_terms(index: Index, plan: Plan) -> DataFrame:
     return index.df.where(F.col("term").rlike(f"(?i){pattern}")) if plan.wildcards else index.df.limit(0)
 
 
-def term_score(plan: Plan, df: dict[str, int], stats, tests: Scan, model) -> Column:
+def term_score(plan: Plan, df: dict[str, int], stats, tests: Located, model) -> Column:
     """Over the query's own terms; ``stats`` is the row of index.stats, ``model`` scores one term of one field."""
     out = F.lit(0.0)
     for t in plan.positive:
@@ -144,7 +142,7 @@ def term_score(plan: Plan, df: dict[str, int], stats, tests: Scan, model) -> Col
     return out
 
 
-def interest(weights: dict[str, int], tests: Scan) -> Column:
+def interest(weights: dict[str, int], tests: Located) -> Column:
     """The weighted share of a user's query tokens that the document has."""
     hit = F.lit(0.0)
     for t, w in weights.items():
@@ -159,7 +157,7 @@ def phrase_score(plan: Plan) -> Column:
     return out
 
 
-def title_share(plan: Plan, tests: Scan) -> Column:
+def title_share(plan: Plan, tests: Located) -> Column:
     terms = plan.title_terms or plan.terms
     hit = F.lit(0)
     for t in terms:
@@ -182,7 +180,7 @@ def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list
     known, stats = known_terms(index, plan), index.stats.first()  # a few rows: they become constants of the plan
     terms = candidate_terms(plan, known)
     by_terms = bool(terms) or bool(positive and not plan.phrases and not plan.regexes and not plan.wildcards)
-    tests = Located([*positive, *plan.excluded, *told]) if by_terms else Scan()
+    tests = Located([*positive, *plan.excluded, *told])
     ok = (tests.any(terms) if terms else F.lit(True)) & (~tests.any(plan.excluded) if plan.excluded else F.lit(True))
     for t in plan.title_terms:
         ok = ok & tests.has(t, "title")
@@ -198,7 +196,7 @@ def matches(index: Index, plan: Plan, as_of: Column | None = None, history: list
     if by_terms:
         rows = index.docs.where(wanted).select(*SHORT, phrase).join(tests.rows(index.postings).where(ok), "doc_id")
     else:
-        rows = index.docs.where(wanted & ok).select(*SHORT, phrase, *[f"{f}_terms" for f in FIELDS])
+        rows = tests.added(index.docs.where(wanted).select(*SHORT, phrase), index.postings).where(ok)
     url_hits = F.lit(0)
     for t in [*positive, *plan.url_terms]:
         url_hits = url_hits + F.contains(F.lower("url"), F.lit(t.lower())).cast("int")
